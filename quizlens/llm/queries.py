@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, simhash
+from . import dac, decontaminate, media, packing, shards, simhash
 from .common import documents
 
 
@@ -19,5 +19,29 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op4_simhash": op4_simhash}
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shards.shard(documents(spark, sf_dir))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dac.read_digests(dac.write(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json")))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, _ = media.write_archives(documents(spark, sf_dir))
+    return media.media_features(media.read_archives(spark, folder))
+
+
+QUERIES = {"op3_shards": op3_shards, "op5_token_files": op5_token_files, "op6_packing": op6_packing, "op9_media": op9_media, "op2_decontaminate": op2_decontaminate, "op4_simhash": op4_simhash}
 SQL: dict[str, str] = {}
