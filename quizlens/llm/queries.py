@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dac, decontaminate, media, packing, shards, simhash
+from . import dac, decontaminate, media, packing, shards, simhash, toxicity
 from .common import documents
 
 
@@ -38,10 +38,15 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.select("doc_id", (~toxicity.learnable(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, _ = media.write_archives(documents(spark, sf_dir))
     return media.media_features(media.read_archives(spark, folder))
 
 
-QUERIES = {"op3_shards": op3_shards, "op5_token_files": op5_token_files, "op6_packing": op6_packing, "op9_media": op9_media, "op2_decontaminate": op2_decontaminate, "op4_simhash": op4_simhash}
+QUERIES = {"op3_shards": op3_shards, "op5_token_files": op5_token_files, "op6_packing": op6_packing, "op8_toxicity": op8_toxicity, "op9_media": op9_media, "op2_decontaminate": op2_decontaminate, "op4_simhash": op4_simhash}
 SQL: dict[str, str] = {}
