@@ -98,7 +98,7 @@ class CharModel:
                 run += 1
             if c in _CODE and c != " ":
                 k = _CODE[c]
-                lattice.append([((k,), 0.0)] if run == 1 else [((k,), ONCE - 2.0), ((k, k), 0.0)] if run == 2 else [((k,), ONCE), ((k, k), TWICE), ((k,) * run, ALL)])
+                lattice.append([((k,), 0.0)] if run == 1 else [((k,), ONCE - 3.5), ((k, k), 0.0)] if run == 2 else [((k,), ONCE), ((k, k), TWICE), ((k,) * run, ALL)])
             elif c.isspace():
                 lattice.append([((0,), -0.7), ((), -0.7)])
             elif c in SIGNS:
@@ -221,7 +221,7 @@ def _adam(gradient, size: int, rounds: int, start: np.ndarray | None = None) ->
 def _floor(n1: np.ndarray, n: np.ndarray, share: float) -> np.ndarray:
     """A cautious share of class 1 among n documents with a feature, n1 of them of class 1, as a logit."""
     p = (n1 + 2 * share) / (n + 2)
-    low = np.clip(p - 2 * np.sqrt(p * (1 - p) / (n + 2)), 1e-3, 1 - 1e-3)
+    low = np.clip(p - 3.5 * np.sqrt(p * (1 - p) / (n + 2)), 1e-3, 1 - 1e-3)
     return np.log(low / (1 - low))
 
 
