@@ -34,6 +34,8 @@ TRAIN_ROWS = 12_000
 #: Weighted features kept by the classifier.
 FEATURES = 20_000
 REMEMBERED = 400_000
+#: Logit from which on a single feature decides.
+EVIDENT = math.log(0.9 / 0.1)
 
 #: Space, a-z, and the lower-case letters of Latin-1; everything else is a space to the character model.
 ALPHABET = " " + "".join(map(chr, range(97, 123))) + "ß" + "".join(chr(c) for c in range(0xE0, 0x100) if c != 0xF7)
@@ -236,7 +238,8 @@ class Classifier:
         linear = self.first + sum(self.weights[f] for f in found)
         best = max([_LEAST, *(self.logits[f] for f in found)])
         x = self.stage[0] + self.stage[1] * max(-30.0, min(30.0, linear)) + self.stage[2] * best
-        x = max(x, best)  # documents with this feature have at least this share of class 1
+        if best > EVIDENT:  # nearly all documents with this feature are of class 1
+            x = max(x, best)
         return 1 / (1 + math.exp(-x)) if x >= 0 else math.exp(x) / (1 + math.exp(x))
 
 
