@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dac, decontaminate, media, packing, shards, simhash, toxicity
+from . import dac, decontaminate, media, packing, pii, shards, simhash, toxicity
 from .common import documents
 
 
@@ -25,6 +25,10 @@ def _tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.summary(pii.find(documents(spark, sf_dir)))
+
+
 def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.shard(documents(spark, sf_dir))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -48,5 +52,5 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.read_archives(spark, folder))
 
 
-QUERIES = {"op3_shards": op3_shards, "op5_token_files": op5_token_files, "op6_packing": op6_packing, "op8_toxicity": op8_toxicity, "op9_media": op9_media, "op2_decontaminate": op2_decontaminate, "op4_simhash": op4_simhash}
+QUERIES = {"op1_pii": op1_pii, "op3_shards": op3_shards, "op5_token_files": op5_token_files, "op6_packing": op6_packing, "op8_toxicity": op8_toxicity, "op9_media": op9_media, "op2_decontaminate": op2_decontaminate, "op4_simhash": op4_simhash}
 SQL: dict[str, str] = {}
