@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dac, decontaminate, media, packing, pii, shards, simhash, toxicity
+from . import dac, decontaminate, media, packing, pii, shards, simhash, substring, toxicity
 from .common import documents
 
 
@@ -52,5 +52,9 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.read_archives(spark, folder))
 
 
-QUERIES = {"op1_pii": op1_pii, "op3_shards": op3_shards, "op5_token_files": op5_token_files, "op6_packing": op6_packing, "op8_toxicity": op8_toxicity, "op9_media": op9_media, "op2_decontaminate": op2_decontaminate, "op4_simhash": op4_simhash}
+def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicate(documents(spark, sf_dir)).drop("kept")
+
+
+QUERIES = {"op10_substring": op10_substring, "op1_pii": op1_pii, "op3_shards": op3_shards, "op5_token_files": op5_token_files, "op6_packing": op6_packing, "op8_toxicity": op8_toxicity, "op9_media": op9_media, "op2_decontaminate": op2_decontaminate, "op4_simhash": op4_simhash}
 SQL: dict[str, str] = {}
