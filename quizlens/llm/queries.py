@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dac, decontaminate, media, packing, pii, shards, simhash, substring, toxicity
+from . import dac, decontaminate, licenses, media, packing, pii, shards, simhash, substring, toxicity
 from .common import documents
 
 
@@ -42,6 +42,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.scan(documents(spark, sf_dir)))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored.select("doc_id", (~toxicity.learnable(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -56,5 +60,5 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.deduplicate(documents(spark, sf_dir)).drop("kept")
 
 
-QUERIES = {"op10_substring": op10_substring, "op1_pii": op1_pii, "op3_shards": op3_shards, "op5_token_files": op5_token_files, "op6_packing": op6_packing, "op8_toxicity": op8_toxicity, "op9_media": op9_media, "op2_decontaminate": op2_decontaminate, "op4_simhash": op4_simhash}
+QUERIES = {"op10_substring": op10_substring, "op1_pii": op1_pii, "op3_shards": op3_shards, "op5_token_files": op5_token_files, "op6_packing": op6_packing, "op7_licenses": op7_licenses, "op8_toxicity": op8_toxicity, "op9_media": op9_media, "op2_decontaminate": op2_decontaminate, "op4_simhash": op4_simhash}
 SQL: dict[str, str] = {}
