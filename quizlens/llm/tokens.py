@@ -16,7 +16,7 @@ from itertools import chain
 import numpy as np
 
 #: Pieces remembered by a worker before it starts anew; bounds its memory, not the texts.
-REMEMBERED = 500_000
+REMEMBERED = 600_000
 
 _ODD = re.compile(r"[^\S \n]")  # white space other than space and line feed; Python's set includes \x1c-\x1f and \x85
 _LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
@@ -31,6 +31,18 @@ _printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHAR = {b: b if b in _printable else 256 + b - sum(p < b for p in _printable) for b in range(256)}
 
 
+class _Slots(dict):
+    """Numbers keys in the order in which they are first asked for, and lists the new ones."""
+
+    def __init__(self) -> None:
+        self.fresh: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        self.fresh.append(key)
+        return n
+
+
 class Encoder:
     """``path``: a tokenizers file; ``pieces``: "spaces" where tokens keep their leading space, "words" where white space is dropped."""
 
@@ -46,7 +58,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.slot: dict[str, int] = {}
+        self.slot = _Slots()
         self.used = 0
         self.flat = np.zeros(1 << 16, np.int32)
         self.start = np.zeros(1 << 14, np.int64)
@@ -55,16 +67,24 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _unit(self, piece: str) -> str:
+        """A run of letters as the model's pre-tokenizer hands it over."""
+        if self.lower:
+            piece = piece.lower()
+        elif piece[0] == " " and piece.isascii():
+            return "\u0120" + piece[1:]
+        return piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_CHAR)
+
     def _learn(self, fresh: list[str]) -> None:
-        simple = [p for p in fresh if _SIMPLE(p)]
-        rest = [p for p in fresh if not _SIMPLE(p)]
-        tokenize = self.model.tokenize
+        """Ids of the pieces numbered last, in their order."""
+        tokenize, unit = self.model.tokenize, self._unit
         # a run of letters is one unit of the pre-tokenizer, so the model can have it at once
-        found = [[t.id for t in tokenize((p.lower() if self.lower else p).encode().decode("latin-1").translate(_BYTE_CHAR))] for p in simple]
-        found += self._ids(rest)
-        fresh = simple + rest
+        found = [[t.id for t in tokenize(unit(p))] if (p.isascii() and p[1:].isalpha() and (p[0] == " " or p[0].isalpha())) or _SIMPLE(p) else None for p in fresh]
+        rest = [i for i, f in enumerate(found) if f is None]
+        for i, ids in zip(rest, self._ids([fresh[i] for i in rest]), strict=True):
+            found[i] = ids
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        n, total = len(self.slot), int(sizes.sum())
+        n, total = len(self.slot) - len(fresh), int(sizes.sum())
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while n + len(fresh) > len(self.start):
@@ -74,7 +94,6 @@ class Encoder:
         self.length[n : n + len(fresh)] = sizes
         self.start[n : n + len(fresh)] = self.used + np.cumsum(sizes) - sizes
         self.used += total
-        self.slot.update(zip(fresh, range(n, n + len(fresh)), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, without special tokens."""
@@ -89,9 +108,10 @@ class Encoder:
         pieces = [self.split(texts[i]) for i in plain]
         counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
         flat = list(chain.from_iterable(pieces))
-        if fresh := [p for p in dict.fromkeys(flat) if p not in self.slot]:
-            self._learn(fresh)
         slots = np.fromiter(map(self.slot.__getitem__, flat), np.int64, len(flat))
+        if self.slot.fresh:
+            fresh, self.slot.fresh = self.slot.fresh, []
+            self._learn(fresh)
         sizes = self.length[slots]
         ends = np.cumsum(sizes)
         where = np.repeat(self.start[slots] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
