@@ -17,6 +17,8 @@ component's name unless its component has no other id; an empty table gives an e
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow, scratch, staged
+from .common import narrow, staged
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -181,25 +183,34 @@ def _choice(n: int, radius: int) -> tuple[int, list[tuple[int, ...]]]:
     return blocks, list(combinations(range(blocks), blocks - radius))
 
 
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _dealt(nodes: DataFrame, masks: list[int]) -> DataFrame:
+    """Rows of ``nodes`` (with ``fp``) for each shard they belong to: those that agree in one of the masks.
+
+    A shard beyond SHARD_LIMIT rows is dealt into chunks. A row of chunk c is a tree's code (side 0) in the tasks
+    (c, j) for j > c and a query (side 1) in (i, c) for i <= c; (c, c) has queries only, and they are its tree.
+    """
+    keyed = nodes.select("*", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("t", "k"))
+    sizes = keyed.groupBy("t", "k").count().where("count > 1")
+    keyed = keyed.join(sizes, ["t", "k"]).withColumn("chunks", F.ceil(F.col("count") / F.lit(SHARD_LIMIT)).cast("int"))
+    keyed = keyed.withColumn("mine", F.pmod(F.xxhash64(*nodes.columns, "t"), F.col("chunks")).cast("int"))
+    task = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    mine, none = F.col("mine"), F.array().cast("array<struct<i:int,j:int,side:int>>")
+    queries = F.transform(F.sequence(F.lit(0), mine), lambda i: task(i, mine, 1))
+    trees = F.when(mine + 1 < F.col("chunks"), F.transform(F.sequence(mine + 1, F.col("chunks") - 1), lambda j: task(mine, j, 0))).otherwise(none)
+    dealt = keyed.select(*nodes.columns, "t", "k", F.inline(F.concat(queries, trees))).select(*nodes.columns, "side", F.xxhash64("t", "k", "i", "j").alias("shard"))
+    return dealt.repartition("shard").sortWithinPartitions("shard")
+
+
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Distinct fingerprints ``fp`` to (a, b): a linked with b < a (unsigned); the links' classes are those of all pairs within the radius."""
     blocks, choices = _choice(prints.count(), radius)
     edges = [64 * i // blocks for i in range(blocks + 1)]
     masks = [sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in c) for c in choices]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("t", "k"))
-    shard = F.xxhash64("t", "k")
-    sizes = keyed.groupBy("t", "k").count().where("count > 1")
-    keyed = keyed.join(sizes, ["t", "k"])
-    chunks = F.ceil(F.col("count") / F.lit(SHARD_LIMIT)).cast("int")
-    mine = F.pmod(F.xxhash64("fp", "t"), F.col("chunks")).cast("int")
-    # a fingerprint of chunk c is a tree's code in (c, j) for j > c and a query in (i, c) for i <= c; (c, c) has no other side
-    tasks = F.concat(
-        F.transform(F.sequence(F.lit(0), F.col("mine")), lambda i: F.struct(i.alias("i"), F.col("mine").alias("j"), F.lit(1).alias("side"))),
-        F.when(F.col("mine") + 1 < F.col("chunks"), F.transform(F.sequence(F.col("mine") + 1, F.col("chunks") - 1), lambda j: F.struct(F.col("mine").alias("i"), j.alias("j"), F.lit(0).alias("side")))).otherwise(F.array().cast("array<struct<i:int,j:int,side:int>>")),
-    )
-    dealt = keyed.withColumn("chunks", chunks).withColumn("mine", mine).select("fp", "t", "k", F.inline(tasks)).select("fp", "side", F.xxhash64("t", "k", "i", "j").alias("shard"))
-    return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(_link(radius), "a long, b long").distinct()
+    return _dealt(prints.select("fp"), masks).mapInArrow(_link(radius), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -240,3 +251,150 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius:
     moved = member.join(smallest, "comp").select("fp", "component_id")
     named = staged(names.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "own").alias("component_id")), "classes")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+# ---- groups of similar texts -----------------------------------------------------------------------------------
+# A similarity of 0.8 on five-word shingles is some ten differing bits, too many for blocks that must agree. Two-word
+# shingles bring such texts within NEAR bits; tables of sampled bits route them to shard trees, a wide fingerprint of the
+# five-word shingles picks each text's nearest in a tree, and the shingles themselves decide.
+
+SIMILAR_WORDS = 5
+SIMILARITY = 0.8
+NEAR = 9
+WIDE = 256
+#: Distance and recall that the number of tables is chosen for.
+TABLE_DISTANCE, TABLE_RECALL = 7, 0.97
+
+
+def sketch(text: str, k: int = SIMILAR_WORDS) -> tuple[int, bytes]:
+    """Fingerprint of the two-word shingles, and one of WIDE bits of the k-word shingles."""
+    ws = text.encode("utf-8", "surrogatepass").lower().split()
+    if not ws:
+        return 0, bytes(WIDE // 8)
+    joined = b" ".join(ws)
+    ends = np.cumsum(np.fromiter(map(len, ws), np.int64, len(ws)) + 1)
+    if len(ws) <= k:
+        x = np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    else:
+        starts = np.concatenate(([0], ends[:-1]))[: len(ws) - k + 1].tolist()
+        digest = xxhash.xxh64_digest
+        x = np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist(), strict=True)]), ">u8").astype(np.uint64)
+    ones = np.zeros(WIDE, np.int64)
+    for lo in range(0, len(x), 4096):
+        part = x[lo : lo + 4096, None] * np.arange(1, WIDE // 32, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        part ^= part >> np.uint64(29)
+        part *= np.uint64(0xBF58476D1CE4E5B9)
+        part ^= part >> np.uint64(32)
+        ones += np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1).sum(axis=0, dtype=np.int64)
+    return fingerprint(text, 2), np.packbits(2 * ones > len(x)).tobytes()
+
+
+def wide_limit(similarity: float) -> int:
+    """Most differing bits of WIDE that texts of this similarity should have: the expected number and two deviations."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(WIDE * p + 2 * math.sqrt(WIDE * p * (1 - p)))
+
+
+def _sketches(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [sketch(t.as_py(), k) for t in batch["text"]]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["same"], pa.array(np.array([m[0] for m in made], np.uint64).view(np.int64)), pa.array([m[1] for m in made], pa.binary())], names=["doc_id", "same", "fp", "wide"])
+
+    return run
+
+
+def _nearest(near: int, limit: int):
+    """Rows come sorted by shard; each row with the row before it in its shard that is most similar, if one is similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, tree, queries, out = None, [], [], []
+
+        def settle() -> None:
+            bk, held = BKTree(), []  # a node's rows
+
+            def insert(row) -> None:
+                node = bk.insert(row[1])
+                if node == len(held):
+                    held.append([])
+                held[node].append(row)
+
+            for row in tree:
+                insert(row)
+            for row in queries:
+                best = min((((row[2] ^ other[2]).bit_count(), other[0]) for node in bk.within(row[1], near) for other in held[node]), default=None)
+                if best and best[0] <= limit:
+                    out.append((row[0], best[1]))
+                if not tree:
+                    insert(row)
+
+        for batch in batches:
+            for shard, side, doc, fp, wide in zip(*(batch[c].to_pylist() for c in ("shard", "side", "doc_id", "fp", "wide")), strict=True):
+                if shard != key:
+                    if len(tree) + len(queries) > 1:
+                        settle()
+                    key, tree, queries = shard, [], []
+                (tree if side == 0 else queries).append((doc, fp & _U64, int.from_bytes(wide, "big")))
+            if out:
+                yield _edges(out)
+                out.clear()
+        if len(tree) + len(queries) > 1:
+            settle()
+        if out:
+            yield _edges(out)
+
+    return run
+
+
+def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"a": pa.array([max(p) for p in pairs], pa.int64()), "b": pa.array([min(p) for p in pairs], pa.int64())})
+
+
+def _shingles(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text in batch["text"]:
+                ws = text.as_py().encode("utf-8", "surrogatepass").lower().split()
+                hashes = {xxhash.xxh64_digest(b" ".join(ws[i : i + k]), SEED) for i in range(max(1, len(ws) - k + 1))} if ws else set()
+                out.append(np.frombuffer(b"".join(hashes), np.int64))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+
+    return run
+
+
+def verified(edges: DataFrame, texts: DataFrame, which: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Edges between ids whose texts share the wanted part of their distinct k-word shingles. ``which``: doc_id, same of an id's text."""
+    ends = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(which, "doc_id")
+    sets = staged(texts.join(ends, ["doc_id", "same"]).dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(_shingles(k), "doc_id long, shingles array<long>"), "shingles")
+    of = lambda name: sets.select(F.col("doc_id").alias(name), F.col("shingles").alias(f"of_{name}"))
+    both = edges.join(of("a"), "a").join(of("b"), "b")
+    shared = F.size(F.array_intersect("of_a", "of_b"))
+    return both.where(shared >= similarity * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
+
+
+def tables(n: int) -> list[int]:
+    """Masks of sampled bits: as many bits as spread n rows, as many tables as reach the recall at the distance."""
+    bits = min(32, max(12, math.ceil(math.log2(max(2, n) / 16))))
+    agree = ((64 - TABLE_DISTANCE) / 64) ** bits
+    count = math.ceil(math.log(1 - TABLE_RECALL) / math.log(1 - agree))
+    return [sum(1 << i for i in random.Random(t).sample(range(64), bits)) for t in range(count)]
+
+
+def similar_groups(docs: DataFrame, shingle_words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, same (hash of the text), keep: true for one row of each group of similar texts, the smallest id's.
+
+    Rows of equal sketch are one group whatever their ids; rows without an id join no others. Ties of one id go to
+    the smaller ``same``; rows equal in both are for the caller to drop.
+    """
+    texts = narrow(docs, id_col, text_col).withColumn("same", F.xxhash64("text"))
+    made = staged(texts.select("doc_id", "same", "text").mapInArrow(_sketches(shingle_words), "doc_id long, same long, fp long, wide binary"), "sketches")
+    first = made.groupBy("fp", "wide").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "same")).alias("first"))
+    first = staged(first.select("fp", "wide", "first.doc_id", F.col("first.same").alias("first_same")), "firsts")
+    nodes = first.where("doc_id is not null").select("doc_id", "fp", "wide")
+    edges = staged(_dealt(nodes, tables(nodes.count())).mapInArrow(_nearest(NEAR, wide_limit(similarity)), "a long, b long").distinct(), "nearest")
+    comp = components(verified(edges, texts, first.select("doc_id", F.col("first_same").alias("same")), shingle_words, similarity))
+    lost = comp.select(F.col("node").alias("doc_id")).withColumn("moved", F.lit(True))
+    kept = first.join(lost, "doc_id", "left").select("fp", "wide", F.col("doc_id").alias("first_id"), "first_same", F.col("moved").isNull().alias("stays"))
+    stays = F.col("stays") & F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("same") == F.col("first_same"))
+    return made.join(kept, ["fp", "wide"]).select("doc_id", "same", stays.alias("keep"))
