@@ -39,6 +39,8 @@ WINDOW = 50
 ANCHOR = 25
 SHARD_WORDS = 250_000
 HOT_REGIONS = 2_048
+#: Region texts that a worker holds before it hands them on.
+CUT_ROWS = 4_096
 
 _B = 0x9E3779B97F4A7C15
 _BI = pow(_B, -1, 1 << 64)
@@ -255,12 +257,21 @@ def _cut(window: int, hot: int):
     """Region texts of documents; regions of hot anchors as one row a window (idx from 0; -1: a whole region)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["key", "fp", "content", "idx", "owner", "text"])
+
         for batch in batches:
             rows = []
-            for doc, text, found in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), batch["found"].to_pylist(), strict=True):
-                words = text.encode("utf-8", "surrogatepass").split()
+            for doc, text, found in zip(batch["doc_id"], batch["text"], batch["found"], strict=True):
+                doc, words = doc.as_py(), text.as_py().encode("utf-8", "surrogatepass").split()
                 roll = None
-                for r in found:
+                for r in found.as_py():
+                    if len(rows) >= CUT_ROWS:
+                        yield made(rows)
+                        rows = []
                     a, b = r["first"], r["last"]
                     if r["n"] <= hot:
                         rows.append((r["fp"], r["fp"], r["content"], -1, doc, b" ".join(words[a : b + window])))
@@ -269,9 +280,7 @@ def _cut(window: int, hot: int):
                     at = np.arange(a, b + 1)
                     for i, key in enumerate(roll.stretch(at, at + window).view(np.int64).tolist()):
                         rows.append((key, r["fp"], r["content"], i, doc, b" ".join(words[a + i : a + i + window])))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["key", "fp", "content", "idx", "owner", "text"])
+            yield made(rows)
 
     return run
 
@@ -318,10 +327,10 @@ def _ranges(window: int):
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         removed, sha, kept_texts = [], [], []
-        for text, spans in zip(batch["text"].to_pylist(), batch["spans"].to_pylist(), strict=True):
-            words = text.encode("utf-8", "surrogatepass").split()
+        for text, spans in zip(batch["text"], batch["spans"], strict=True):
+            words = text.as_py().encode("utf-8", "surrogatepass").split()
             gone = np.zeros(len(words) + 1, np.int32)
-            for s in spans:
+            for s in spans.as_py():
                 gone[s["a"]] += 1
                 gone[s["b"]] -= 1
             kept = [w for w, g in zip(words, np.cumsum(gone[:-1]).tolist(), strict=True) if not g]
