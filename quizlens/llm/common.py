@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows handed to a worker's kernel at once; bounds a kernel's working set, not its input.
 KERNEL_ROWS = 256
@@ -37,9 +39,26 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def narrow(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Only the id (as ``doc_id`` long) and the text (null: empty); other columns cannot clash with an operator's own."""
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+def narrow(df: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
+    """Only the id (as ``doc_id`` long) and the text (null: empty); other columns cannot clash with an operator's own.
+
+    ``carry`` keeps the whole row beside them, as the struct ``row``.
+    """
+    kept = [F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")] if carry else []
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *kept)
+
+
+def extended(df: DataFrame, ddl: str) -> StructType:
+    """``ddl``'s columns, and ``row`` where ``df`` carries it."""
+    made = StructType.fromDDL(ddl)
+    return StructType([*made.fields, *(f for f in df.schema.fields if f.name == "row")])
+
+
+def carried(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    """``columns``, and the batch's ``row`` where it has one."""
+    if "row" in batch.schema.names:
+        columns = columns | {"row": batch["row"]}
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 def unsigned_crc32(c: Column) -> Column:

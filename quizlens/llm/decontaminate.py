@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow, staged
+from .common import carried, extended, narrow, staged
 
 WINDOW = 13
 #: UTF-8 bytes of items held by one automaton (about 10 nodes a byte at worst). More items make more automata,
@@ -33,7 +33,6 @@ _WORD_BYTES = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b in _WORD_BYTES else 0x20 for b in range(256))
 
 SCHEMA = "doc_id long, text string, n_words long, hit binary, items array<string>"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("hit", pa.binary()), ("items", pa.list_(pa.string()))])
 
 
 def words(text: str) -> list[bytes]:
@@ -107,22 +106,23 @@ def _pass(shared: Broadcast, window: int):
                     np.add.at(steps, spans[:, 1], -1)
                     had_hits[i] = np.packbits((np.cumsum(steps[:-1]) > 0) | (bits > 0)).tobytes()
                     had_items[i] = sorted(names | set(had_items[i] or ()))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text"], pa.array(counts, pa.int64()), pa.array(had_hits, pa.binary()), pa.array(had_items, pa.list_(pa.string()))], schema=_ARROW)
+            yield carried(batch, {"doc_id": batch["doc_id"], "text": batch["text"], "n_words": pa.array(counts, pa.int64()), "hit": pa.array(had_hits, pa.binary()), "items": pa.array(had_items, pa.list_(pa.string()))})
 
     return run
 
 
-def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``SCHEMA``: hit holds a bit for each word (null: none is hit), items the sorted ids of occurring items."""
+def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: bool = False) -> DataFrame:
+    """``SCHEMA``: hit holds a bit for each word (null: none is hit), items the sorted ids of
+    occurring items. ``carry`` adds ``row``, the whole row of ``docs``."""
     spark = docs.sparkSession
     items = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // AUTOMATON_BYTES) or 1
-    out = narrow(docs, id_col, text_col).select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("hit"), F.lit(None).cast("array<string>").alias("items"))
+    out = narrow(docs, id_col, text_col, carry).withColumns({"n_words": F.lit(0).cast("long"), "hit": F.lit(None).cast("binary"), "items": F.lit(None).cast("array<string>")})
     for b in range(blocks):
         block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
         shared = spark.sparkContext.broadcast([(r.item, r.text) for r in block.collect()])
-        out = out.mapInArrow(_pass(shared, window), SCHEMA)
+        out = out.mapInArrow(_pass(shared, window), extended(out, SCHEMA))
         if b + 1 < blocks:
             out = staged(out, "decontaminate")
     return out
@@ -132,12 +132,12 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hits = [int.from_bytes(h, "big").bit_count() if h else 0 for h in batch["hit"].to_pylist()]
         names = [x or [] for x in batch["items"].to_pylist()]
-        yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "n_words": batch["n_words"], "n_hit": pa.array(hits, pa.int64()), "n_items": pa.array([len(x) for x in names], pa.int64()), "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], pa.string())})
+        yield carried(batch, {"doc_id": batch["doc_id"], "n_words": batch["n_words"], "n_hit": pa.array(hits, pa.int64()), "n_items": pa.array([len(x) for x in names], pa.int64()), "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], pa.string())})
 
 
 def summary(scanned: DataFrame) -> DataFrame:
     """One row per document with the counts, the digest of the items, and the verdict (at least one word in 20 hit)."""
-    return scanned.select("doc_id", "n_words", "hit", "items").mapInArrow(_digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string").withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
+    return scanned.drop("text").mapInArrow(_digest, extended(scanned, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string")).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
 
 
 def hit_spans(text: str, hit: bytes | None) -> list[tuple[int, int]]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kernel_slices, narrow
+from .common import carried, extended, kernel_slices, narrow
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
@@ -315,14 +315,15 @@ def _finder(field: Field):
                 base += b
                 added += a
             as_rows = lambda many: pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in many], _SPAN)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text"], as_rows(base), as_rows(added)], names=["doc_id", "text", "base", "added"])
+            yield carried(batch, {"doc_id": batch["doc_id"], "text": batch["text"], "base": as_rows(base), "added": as_rows(added)})
 
     return run
 
 
-def find(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, base and added spans."""
-    return narrow(docs, id_col, text_col).mapInArrow(_finder(field or train()), _OUT)
+def find(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """doc_id, text, base and added spans; ``carry`` adds ``row``, the whole row of ``docs``."""
+    given = narrow(docs, id_col, text_col, carry)
+    return given.mapInArrow(_finder(field or train()), extended(given, _OUT))
 
 
 def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -357,9 +358,9 @@ def summary(found: DataFrame) -> DataFrame:
 def _masker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [masked(t, [(s["kind"], s["start"], s["end"]) for s in [*(b or ()), *(a or ())]]) for t, b, a in zip(batch["text"].to_pylist(), batch["base"].to_pylist(), batch["added"].to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(rows, pa.string())], names=["doc_id", "text"])
+        yield carried(batch, {"doc_id": batch["doc_id"], "text": pa.array(rows, pa.string())})
 
 
 def mask(found: DataFrame) -> DataFrame:
-    """doc_id, text with all spans masked."""
-    return found.mapInArrow(_masker, "doc_id long, text string")
+    """doc_id, text with all spans masked, and ``row`` where it was carried."""
+    return found.mapInArrow(_masker, extended(found, "doc_id long, text string"))

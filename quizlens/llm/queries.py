@@ -19,7 +19,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return str(public_tokenizers.path(name))
@@ -35,11 +35,11 @@ def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dac.read_digests(dac.write(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json")))
+    return dac.read_digests(dac.write(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json")))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
+    return packing.pack(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

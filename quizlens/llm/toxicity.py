@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow, staged
+from .common import carried, extended, narrow, staged
 
 TRAIN_ROWS = 12_000
 #: Weighted features kept by the classifier.
@@ -303,7 +303,7 @@ def _scorer(shared: Broadcast):
                     if ids:
                         found.update(ids)
                 scores.append(model.score(sorted(found)))
-            yield pa.RecordBatch.from_arrays([batch[c] for c in batch.schema.names if c != "text"] + [pa.array(scores, pa.float64())], names=[c for c in batch.schema.names if c != "text"] + ["score"])
+            yield carried(batch, {"doc_id": batch["doc_id"], "score": pa.array(scores, pa.float64())})
 
     return run
 
@@ -313,8 +313,9 @@ def learnable(doc_id) -> F.Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(5)) != 0
 
 
-def score(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """doc_id, score for each row of ``docs``. ``corpus``: the texts of labels and of character counts, if not ``docs``."""
+def score(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", carry: bool = False) -> DataFrame:
+    """doc_id, score for each row of ``docs``. ``corpus``: the texts of labels and of character counts, if not ``docs``;
+    ``carry`` adds ``row``, the whole row of ``docs``."""
     spark = docs.sparkSession
     corpus = narrow(docs if corpus is None else corpus, id_col, text_col)
     grams = character_counts(corpus).orderBy("gram").toPandas()  # at most len(ALPHABET) ** 3 rows
@@ -328,4 +329,5 @@ def score(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, t
     vectors = [np.frombuffer(rows["ids"][i], np.uint32) for i in order]
     model = fit(rows["label"].to_numpy(np.int64)[order] if len(rows) else np.zeros(0, np.int64), vectors)
     ready = spark.sparkContext.broadcast((arrays, model))
-    return narrow(docs, id_col, text_col).mapInArrow(_scorer(ready), "doc_id long, score double")
+    given = narrow(docs, id_col, text_col, carry)
+    return given.mapInArrow(_scorer(ready), extended(given, "doc_id long, score double"))
