@@ -24,8 +24,10 @@ def query(f: Query) -> Query:
     return f
 
 
-def _nine(c: Column | str) -> Column:
-    return F.round(c, 9)
+def _six(c: Column | str) -> Column:
+    """Six decimals, by operations that every engine does alike; NaN and null stay."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(F.isnan(c), c).otherwise(F.floor(c * 1e6 + 0.5) / F.lit(1e6))
 
 
 def _joined(c: Column | str) -> Column:
@@ -78,41 +80,41 @@ def options_reassembled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def word_sentence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     w, s = features.word_lengths(docs, "doc_id"), features.sentence_lengths(docs, "doc_id")
-    of = lambda df, p: df.select("doc_id", F.col("n").alias(f"n_{p}"), _nine("mean").alias(f"{p}_mean"), _nine("var").alias(f"{p}_var"))
+    of = lambda df, p: df.select("doc_id", F.col("n").alias(f"n_{p}"), _six("mean").alias(f"{p}_mean"), _six("var").alias(f"{p}_var"))
     return docs.select("doc_id", F.length("text").cast("long").alias("n_chars")).join(of(w, "words"), "doc_id", "left").join(of(s, "sents"), "doc_id", "left").fillna(0, ["n_words", "n_sents"])
 
 
 @query
 def word_len_burstiness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.burstiness(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", _nine("burstiness").alias("word_len_burstiness"))
+    return features.burstiness(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", _six("burstiness").alias("word_len_burstiness"))
 
 
 @query
 def sent_len_burstiness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.burstiness(table(spark, sf_dir, "documents"), "doc_id", "sentences").select("doc_id", _nine("burstiness").alias("sent_len_burstiness"))
+    return features.burstiness(table(spark, sf_dir, "documents"), "doc_id", "sentences").select("doc_id", _six("burstiness").alias("sent_len_burstiness"))
 
 
 @query
 def char_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.character_entropy(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", _nine("char_entropy").alias("char_entropy"))
+    return features.character_entropy(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", _six("char_entropy").alias("char_entropy"))
 
 
 @query
 def corpus_zipf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.zipf(features.token_counts(table(spark, sf_dir, "documents"))).select("token", "n", _nine("zipf").alias("zipf"))
+    return features.zipf(features.token_counts(table(spark, sf_dir, "documents"))).select("token", "n", _six("zipf").alias("zipf"))
 
 
 @query
 def rare_token_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of the benchmark are the lexicon, as most of the corpus is rare in it."""
     lexicon = features.zipf(features.token_counts(table(spark, sf_dir, "benchmark")))
-    return features.rare_rate(table(spark, sf_dir, "documents"), lexicon, "doc_id").select("doc_id", _nine("rare_token_rate").alias("rare_token_rate"))
+    return features.rare_rate(table(spark, sf_dir, "documents"), lexicon, "doc_id").select("doc_id", _six("rare_token_rate").alias("rare_token_rate"))
 
 
 @query
 def shape_tag_kl(spark: SparkSession, sf_dir: str) -> DataFrame:
     reference = features.tag_shares(table(spark, sf_dir, "benchmark"))
-    return features.tag_divergence(table(spark, sf_dir, "documents"), reference, "doc_id").select("doc_id", _nine("pos_kl_div").alias("pos_kl_div"))
+    return features.tag_divergence(table(spark, sf_dir, "documents"), reference, "doc_id").select("doc_id", _six("pos_kl_div").alias("pos_kl_div"))
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +123,7 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("label"))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("domain"), "text").join(labels, "doc_id")
     made = features.feature_table(docs, "doc_id", features.zipf(features.token_counts(bench)), features.tag_shares(bench))
-    return made.select("doc_id", "domain", "label", *[_nine(f).alias(f) for f in features.FEATURES])
+    return made.select("doc_id", "domain", "label", *[_six(f).alias(f) for f in features.FEATURES])
 
 
 @query
@@ -145,7 +147,7 @@ def chunk_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = control.with_chunks(items(spark, sf_dir).select("item_no", "item_id", "domain")).groupBy("domain", "chunk").agg(F.count("*").alias("n_items"))
     by = Window.partitionBy("domain")
     done = F.sum("n_items").over(by.orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0))
-    return per.select("domain", "chunk", "n_items", done.alias("done"), _nine(text.whole_percent(done, F.sum("n_items").over(by))).alias("percent"))
+    return per.select("domain", "chunk", "n_items", done.alias("done"), _six(text.whole_percent(done, F.sum("n_items").over(by))).alias("percent"))
 
 
 @query
@@ -182,12 +184,12 @@ def _accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def accuracy_by_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _accuracy(spark, sf_dir).withColumn("accuracy", _nine("accuracy"))
+    return _accuracy(spark, sf_dir).withColumn("accuracy", _six("accuracy"))
 
 
 @query
 def exploitation_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.gaps(_accuracy(spark, sf_dir)).withColumn("gap", _nine("gap"))
+    return evaluate.gaps(_accuracy(spark, sf_dir)).withColumn("gap", _six("gap"))
 
 
 AUROC_CASES = [("high", 0.75), ("middle", 0.60), ("below", 0.5999), ("published", 0.562), ("nan", float("nan")), ("missing", None)]
@@ -199,7 +201,7 @@ def verdicts_by_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     gap = evaluate.gaps(_accuracy(spark, sf_dir))
     side = lambda g: F.max(F.when(F.col("grp") == g, F.col("gap")))
     rows = gap.groupBy(F.coalesce("domain", F.lit("overall")).alias("name")).agg(side("treatment").alias("t"), side("control").alias("c"))
-    return cases.unionByName(rows.select(F.concat(F.lit("gap "), "name").alias("name"), verdicts.exploitation(_nine("t"), _nine("c")).alias("verdict")))
+    return cases.unionByName(rows.select(F.concat(F.lit("gap "), "name").alias("name"), verdicts.exploitation(_six("t"), _six("c")).alias("verdict")))
 
 
 def _by_feature(rows: DataFrame) -> DataFrame:
@@ -210,19 +212,19 @@ def _by_feature(rows: DataFrame) -> DataFrame:
 
 @query
 def auroc_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify.auroc(_by_feature(_features(spark, sf_dir)), "split", "feature").withColumn("auroc", _nine("auroc"))
+    return classify.auroc(_by_feature(_features(spark, sf_dir)), "split", "feature").withColumn("auroc", _six("auroc"))
 
 
 @query
 def report_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = report.table(_accuracy(spark, sf_dir))
-    return rows.select("grp", "domain", *[_nine(c).alias(c) for c in ("original", "neutralized", "adversarial", "gap")])
+    return rows.select("grp", "domain", *[_six(c).alias(c) for c in ("original", "neutralized", "adversarial", "gap")])
 
 
 @query
 def chart_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = report.chart(evaluate.gaps(_accuracy(spark, sf_dir)))
-    return rows.select("domain", _nine("treatment").alias("treatment"), _nine("control").alias("control"))
+    return rows.select("domain", _six("treatment").alias("treatment"), _six("control").alias("control"))
 
 
 @query

@@ -55,7 +55,7 @@ def _sentences(x: str) -> str:
 
 _LEN = "SELECT doc_id, count(*) AS n, sum(length(x))::BIGINT / count(*) AS mean, (count(*) * sum(length(x) * length(x))::BIGINT - sum(length(x))::BIGINT * sum(length(x))::BIGINT) / (count(*) * count(*)) AS var FROM (SELECT doc_id, unnest({list}) AS x FROM documents) GROUP BY doc_id"
 _WORD_LEN, _SENT_LEN = _LEN.format(list=_words("text")), _LEN.format(list=_sentences("text"))
-_BURST = "CASE WHEN n IS NULL OR n < 2 OR mean = 0 THEN 0.0::DOUBLE ELSE round(var / mean, 9) END"
+_BURST = "CASE WHEN n IS NULL OR n < 2 OR mean = 0 THEN 0.0::DOUBLE ELSE (floor((var / mean) * 1e6 + 0.5) / 1e6) END"
 _ENTROPY = "SELECT doc_id, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS e FROM (SELECT doc_id, ch, count(*) AS c FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents WHERE text <> '') GROUP BY ALL) GROUP BY doc_id"
 
 _COUNTS = "SELECT lower(x) AS token, count(*) AS n FROM (SELECT unnest({words}) AS x FROM {table}) GROUP BY 1"
@@ -76,10 +76,10 @@ _KL = f"""SELECT doc_id, sum(p * ln((p + {EPSILON}) / (qq + {EPSILON}))) AS kl F
   WHERE c IS NOT NULL OR q IS NOT NULL) GROUP BY doc_id"""
 _NAN = "'nan'::DOUBLE"
 FEATURE_CTES = f"{LEXICON}, {SHARES}, wl AS ({_WORD_LEN}), sl AS ({_SENT_LEN}), ent AS ({_ENTROPY}), rare AS ({_RARE}), kl AS ({_KL})"
-_FEATURES = f"""SELECT d.doc_id, d.lang AS domain, l.quality::BIGINT AS label, coalesce(round(rate, 9), {_NAN}) AS rare_token_rate,
+_FEATURES = f"""SELECT d.doc_id, d.lang AS domain, l.quality::BIGINT AS label, coalesce((floor((rate) * 1e6 + 0.5) / 1e6), {_NAN}) AS rare_token_rate,
   {_BURST.replace("n IS NULL OR n ", "wl.n IS NULL OR wl.n ").replace("mean", "wl.mean").replace("var ", "wl.var ")} AS word_len_burstiness,
   {_BURST.replace("n IS NULL OR n ", "sl.n IS NULL OR sl.n ").replace("mean", "sl.mean").replace("var ", "sl.var ")} AS sent_len_burstiness,
-  coalesce(round(e, 9), {_NAN}) AS char_entropy, coalesce(round(kl, 9), {_NAN}) AS pos_kl_div
+  coalesce((floor((e) * 1e6 + 0.5) / 1e6), {_NAN}) AS char_entropy, coalesce((floor((kl) * 1e6 + 0.5) / 1e6), {_NAN}) AS pos_kl_div
 FROM documents d JOIN labels l USING (doc_id) LEFT JOIN wl USING (doc_id) LEFT JOIN sl USING (doc_id) LEFT JOIN ent USING (doc_id) LEFT JOIN rare USING (doc_id) LEFT JOIN kl USING (doc_id)"""
 
 _letters = "chr((65 + {i})::INT)"
@@ -146,7 +146,7 @@ packed AS (
 _JOINED = "md5(array_to_string({x}, chr(1)))"
 _values = lambda rows: ", ".join("(" + ", ".join("NULL" if v is None else "'nan'::DOUBLE" if v != v else _q(v) if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
 
-_AUROC = f"""SELECT split, feature, CASE WHEN p > 0 AND q > 0 THEN round((ranks - p * (p + 1) / 2) / (p * q), 9) ELSE {_NAN} END AS auroc, (p + q)::BIGINT AS n_samples FROM (
+_AUROC = f"""SELECT split, feature, CASE WHEN p > 0 AND q > 0 THEN (floor(((ranks - p * (p + 1) / 2) / (p * q)) * 1e6 + 0.5) / 1e6) ELSE {_NAN} END AS auroc, (p + q)::BIGINT AS n_samples FROM (
   SELECT split, feature, sum(label) AS p, sum(1 - label) AS q, sum(CASE WHEN label = 1 THEN r ELSE 0 END) AS ranks FROM (
     SELECT split, feature, label, rank() OVER (PARTITION BY split, feature ORDER BY score) + (count(*) OVER (PARTITION BY split, feature, score) - 1) / 2 AS r FROM scores WHERE NOT isnan(score))
   GROUP BY split, feature)"""
@@ -158,28 +158,28 @@ SQL: dict[str, str] = {
     "gold_distractors": f"WITH {GOLD} SELECT item_no, md5(gold) AS gold_md5, {_has('gold')} AS gold_has_text, len(usable) AS n_distractors, {_JOINED.format(x='usable')} AS distractors_md5 FROM gold",
     "options_exploded": f"WITH {GOLD}, e AS (SELECT item_no, item_id, domain, gold_at, unnest(range(len(options))) AS k, options FROM gold WHERE gold_at IS NOT NULL) SELECT item_no, item_id, domain, (CASE WHEN k = gold_at THEN 0 WHEN k < gold_at THEN k + 1 ELSE k END)::BIGINT AS option_idx, (k = gold_at)::BIGINT AS label, options[k + 1] AS text FROM e WHERE {_has('options[k + 1]')}",
     "options_reassembled": f"WITH {ITEMS} SELECT item_no, len(options) AS n_options, {_JOINED.format(x='list_transform(options, lambda o: CASE WHEN ' + _has('o') + ' THEN lower(o) ELSE o END)')} AS options_md5 FROM items",
-    "word_sentence_stats": f"SELECT d.doc_id, length(text) AS n_chars, coalesce(w.n, 0) AS n_words, round(w.mean, 9) AS words_mean, round(w.var, 9) AS words_var, coalesce(s.n, 0) AS n_sents, round(s.mean, 9) AS sents_mean, round(s.var, 9) AS sents_var FROM documents d LEFT JOIN ({_WORD_LEN}) w USING (doc_id) LEFT JOIN ({_SENT_LEN}) s USING (doc_id)",
+    "word_sentence_stats": f"SELECT d.doc_id, length(text) AS n_chars, coalesce(w.n, 0) AS n_words, (floor((w.mean) * 1e6 + 0.5) / 1e6) AS words_mean, (floor((w.var) * 1e6 + 0.5) / 1e6) AS words_var, coalesce(s.n, 0) AS n_sents, (floor((s.mean) * 1e6 + 0.5) / 1e6) AS sents_mean, (floor((s.var) * 1e6 + 0.5) / 1e6) AS sents_var FROM documents d LEFT JOIN ({_WORD_LEN}) w USING (doc_id) LEFT JOIN ({_SENT_LEN}) s USING (doc_id)",
     "word_len_burstiness": f"SELECT doc_id, {_BURST} AS word_len_burstiness FROM documents LEFT JOIN ({_WORD_LEN}) USING (doc_id)",
     "sent_len_burstiness": f"SELECT doc_id, {_BURST} AS sent_len_burstiness FROM documents LEFT JOIN ({_SENT_LEN}) USING (doc_id)",
-    "char_entropy": f"SELECT doc_id, coalesce(round(e, 9), {_NAN}) AS char_entropy FROM documents LEFT JOIN ({_ENTROPY}) USING (doc_id)",
-    "corpus_zipf": f"WITH counts AS ({_COUNTS.format(words=_words('text'), table='documents')}) SELECT token, n, round(zipf, 9) AS zipf FROM ({_ZIPF.format(c='counts')})",
-    "rare_token_rate": f"WITH {LEXICON} SELECT doc_id, coalesce(round(rate, 9), {_NAN}) AS rare_token_rate FROM documents LEFT JOIN ({_RARE}) USING (doc_id)",
-    "shape_tag_kl": f"WITH {SHARES} SELECT doc_id, coalesce(round(kl, 9), {_NAN}) AS pos_kl_div FROM documents LEFT JOIN ({_KL}) USING (doc_id)",
+    "char_entropy": f"SELECT doc_id, coalesce((floor((e) * 1e6 + 0.5) / 1e6), {_NAN}) AS char_entropy FROM documents LEFT JOIN ({_ENTROPY}) USING (doc_id)",
+    "corpus_zipf": f"WITH counts AS ({_COUNTS.format(words=_words('text'), table='documents')}) SELECT token, n, (floor((zipf) * 1e6 + 0.5) / 1e6) AS zipf FROM ({_ZIPF.format(c='counts')})",
+    "rare_token_rate": f"WITH {LEXICON} SELECT doc_id, coalesce((floor((rate) * 1e6 + 0.5) / 1e6), {_NAN}) AS rare_token_rate FROM documents LEFT JOIN ({_RARE}) USING (doc_id)",
+    "shape_tag_kl": f"WITH {SHARES} SELECT doc_id, coalesce((floor((kl) * 1e6 + 0.5) / 1e6), {_NAN}) AS pos_kl_div FROM documents LEFT JOIN ({_KL}) USING (doc_id)",
     "feature_table": f"WITH {FEATURE_CTES} {_FEATURES}",
     "label_balance": f"WITH {GOLD}, e AS (SELECT domain, unnest(range(len(options))) AS k, gold_at, options FROM gold WHERE gold_at IS NOT NULL) SELECT domain, (k = gold_at)::BIGINT AS label, count(*) AS n FROM e WHERE {_has('options[k + 1]')} GROUP BY GROUPING SETS ((domain, label), (label))",
     "keyed_sample": f"WITH {ITEMS} SELECT item_no, item_id, domain, row_number() OVER (PARTITION BY domain ORDER BY md5('42:' || item_id || ':' || item_no::VARCHAR), item_id, item_no) AS draw FROM items QUALIFY draw <= {SAMPLE}",
-    "chunk_progress": f"WITH {CHUNKS}, per AS (SELECT domain, chunk, count(*) AS n_items FROM chunked GROUP BY ALL) SELECT domain, chunk, n_items, (sum(n_items) OVER (PARTITION BY domain ORDER BY chunk))::BIGINT AS done, round(100.0::DOUBLE * sum(n_items) OVER (PARTITION BY domain ORDER BY chunk) / sum(n_items) OVER (PARTITION BY domain), 9) AS percent FROM per",
+    "chunk_progress": f"WITH {CHUNKS}, per AS (SELECT domain, chunk, count(*) AS n_items FROM chunked GROUP BY ALL) SELECT domain, chunk, n_items, (sum(n_items) OVER (PARTITION BY domain ORDER BY chunk))::BIGINT AS done, (floor((100.0::DOUBLE * sum(n_items) OVER (PARTITION BY domain ORDER BY chunk) / sum(n_items) OVER (PARTITION BY domain)) * 1e6 + 0.5) / 1e6) AS percent FROM per",
     "option_permutation": f"WITH {GOLD}, t AS (SELECT item_no, item_id, list_concat([gold], usable)[1:4] AS o FROM gold WHERE {_has('gold')} AND len(usable) > 0), p AS (SELECT item_no, {_order('o', _q('train'))} AS ord FROM t) SELECT item_no, array_to_string(ord, ',') AS ord, {_CORRECT} AS correct_letter FROM p",
     "mcq_examples": f"WITH {GOLD}, t AS (SELECT item_no, item_id, list_concat([gold], usable)[1:4] AS o FROM gold WHERE bucket >= 200 AND {_has('gold')} AND len(usable) > 0), p AS (SELECT item_no, item_id, o, {_order('o', _q('train'))} AS ord FROM t) SELECT item_no, item_id, {_prompt('o', 'ord')} AS prompt, {_CORRECT} AS correct_letter FROM p",
     "paired_variants": f"WITH {PAIRS} SELECT item_no, item_id, domain, variant, {_prompt('o', 'ord')} AS prompt, {_CORRECT} AS correct_letter FROM vars",
     "letter_parse": f"SELECT conv_id, turn, {_LETTER.format(x='text')} AS letter FROM conversations",
     "reward": f"SELECT conv_id, turn, CASE WHEN {_LETTER.format(x='text')} = chr((65 + conv_id % 4)::INT) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS reward FROM conversations",
-    "accuracy_by_variant": f"WITH {ACCURACY} SELECT grp, variant, domain, n, n_correct, round(accuracy, 9) AS accuracy FROM acc",
-    "exploitation_gap": f"WITH {ACCURACY} SELECT grp, domain, round(gap, 9) AS gap FROM gaps",
-    "verdicts_by_threshold": f"WITH {ACCURACY}, sides AS (SELECT coalesce(domain, 'overall') AS name, round(max(gap) FILTER (WHERE grp = 'treatment'), 9) - round(max(gap) FILTER (WHERE grp = 'control'), 9) AS diff FROM gaps GROUP BY 1) SELECT a AS name, CASE WHEN isnan(b) THEN 'none' WHEN b >= 0.75 THEN 'strong' WHEN b >= 0.60 THEN 'moderate' ELSE 'none' END AS verdict FROM (VALUES {_values([(n, v if v is None or v != v else float(v)) for n, v in AUROC_CASES])}) AS v(a, b) UNION ALL SELECT 'gap ' || name, CASE WHEN isnan(diff) THEN 'none' WHEN diff > 0.05 THEN 'confirmed' WHEN diff > 0 THEN 'weak' ELSE 'none' END FROM sides",
+    "accuracy_by_variant": f"WITH {ACCURACY} SELECT grp, variant, domain, n, n_correct, (floor((accuracy) * 1e6 + 0.5) / 1e6) AS accuracy FROM acc",
+    "exploitation_gap": f"WITH {ACCURACY} SELECT grp, domain, (floor((gap) * 1e6 + 0.5) / 1e6) AS gap FROM gaps",
+    "verdicts_by_threshold": f"WITH {ACCURACY}, sides AS (SELECT coalesce(domain, 'overall') AS name, (floor((max(gap) FILTER (WHERE grp = 'treatment')) * 1e6 + 0.5) / 1e6) - (floor((max(gap) FILTER (WHERE grp = 'control')) * 1e6 + 0.5) / 1e6) AS diff FROM gaps GROUP BY 1) SELECT a AS name, CASE WHEN isnan(b) THEN 'none' WHEN b >= 0.75 THEN 'strong' WHEN b >= 0.60 THEN 'moderate' ELSE 'none' END AS verdict FROM (VALUES {_values([(n, v if v is None or v != v else float(v)) for n, v in AUROC_CASES])}) AS v(a, b) UNION ALL SELECT 'gap ' || name, CASE WHEN isnan(diff) THEN 'none' WHEN diff > 0.05 THEN 'confirmed' WHEN diff > 0 THEN 'weak' ELSE 'none' END FROM sides",
     "auroc_rank": f"WITH {FEATURE_CTES}, f AS ({_FEATURES}), both_ AS (SELECT 'overall' AS split, * FROM f UNION ALL SELECT domain, * FROM f), scores AS (UNPIVOT (SELECT split, label, rare_token_rate, word_len_burstiness, sent_len_burstiness, char_entropy, pos_kl_div FROM both_) ON rare_token_rate, word_len_burstiness, sent_len_burstiness, char_entropy, pos_kl_div INTO NAME feature VALUE score) {_AUROC}",
-    "report_table": f"WITH {ACCURACY} SELECT grp, domain, round(original, 9) AS original, round(neutralized, 9) AS neutralized, round(adversarial, 9) AS adversarial, round(neutralized - adversarial, 9) AS gap FROM wide",
-    "chart_gap": f"WITH {ACCURACY} SELECT t.domain, round(t.gap, 9) AS treatment, coalesce(round(c.gap, 9), 0) AS control FROM gaps t LEFT JOIN gaps c ON c.domain IS NOT DISTINCT FROM t.domain AND c.grp = 'control' WHERE t.grp = 'treatment'",
+    "report_table": f"WITH {ACCURACY} SELECT grp, domain, (floor((original) * 1e6 + 0.5) / 1e6) AS original, (floor((neutralized) * 1e6 + 0.5) / 1e6) AS neutralized, (floor((adversarial) * 1e6 + 0.5) / 1e6) AS adversarial, (floor((neutralized - adversarial) * 1e6 + 0.5) / 1e6) AS gap FROM wide",
+    "chart_gap": f"WITH {ACCURACY} SELECT t.domain, (floor((t.gap) * 1e6 + 0.5) / 1e6) AS treatment, coalesce((floor((c.gap) * 1e6 + 0.5) / 1e6), 0) AS control FROM gaps t LEFT JOIN gaps c ON c.domain IS NOT DISTINCT FROM t.domain AND c.grp = 'control' WHERE t.grp = 'treatment'",
     "report_text": f"WITH {ACCURACY} SELECT string_agg(grp || '|' || coalesce(domain, 'overall') || '|' || variant || '|' || n_correct || '|' || n, chr(10) ORDER BY grp, coalesce(domain, ''), variant) AS report FROM acc",
     "dedup_fanout": f"WITH {ITEMS}, e AS (SELECT item_no, domain, unnest(range(len(options))) AS place, options FROM items) SELECT item_no, place, domain, md5(lower(options[place + 1])) AS new_md5 FROM e WHERE {_has('options[place + 1]')}",
     "resume_pending": f"WITH {ITEMS} SELECT item_no, item_id, domain FROM items WHERE item_id NOT IN (SELECT item_id FROM items WHERE item_no % 2 = 0)",
