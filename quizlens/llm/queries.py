@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dac, decontaminate, licenses, media, packing, pii, shards, simhash, substring, toxicity
+from . import dac, decontaminate, licenses, media, packing, pii, shards, simhash, sql, substring, toxicity
 from .common import documents
 
 
@@ -61,4 +61,4 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_substring": op10_substring, "op1_pii": op1_pii, "op3_shards": op3_shards, "op5_token_files": op5_token_files, "op6_packing": op6_packing, "op7_licenses": op7_licenses, "op8_toxicity": op8_toxicity, "op9_media": op9_media, "op2_decontaminate": op2_decontaminate, "op4_simhash": op4_simhash}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_decontaminate": sql.OP2, "op3_shards": sql.OP3, "op10_substring": sql.OP10}
