@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..fixed import EPSILON, RARE_ZIPF
 from ..functions.text import sentences, words
@@ -61,7 +62,7 @@ def burstiness(df: DataFrame, key: str, of: str = "words", text: str = "text") -
     return df.select(key).join(lengths, key, "left").select(key, _burst(F.col("n"), F.col("mean"), F.col("var")).alias("burstiness"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _entropy(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         out = np.full(len(texts), np.nan)

@@ -39,7 +39,7 @@ def read_items(spark: SparkSession, folder: str, domains: tuple[str, ...] = DOMA
     if not paths:
         return spark.createDataFrame([], "domain string, load_seq long, item_id string, question string, options array<string>, answer string")
     rank = F.array_position(F.array(*map(F.lit, domains)), F.col("domain")) - 1
-    rows = spark.read.schema(_LINE).text(paths).select("value", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.jsonl$", 1).alias("domain"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line")).where("trim(value) <> ''")
+    rows = spark.read.schema(_LINE).text(paths).select("value", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.jsonl$", 1).alias("domain"), F.monotonically_increasing_id().alias("_line")).where("trim(value) <> ''")
     parse = F.parse_json if strict else F.try_parse_json
     rows = rows.withColumn("v", parse("value")).where("v is not null")
     get = lambda field, kind: F.try_variant_get("v", f"$.{field}", kind)
@@ -108,5 +108,5 @@ def write_report(spark: SparkSession, path: str, acc: list[dict]) -> None:
 
 def fingerprints(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """file, md5, size_bytes of the files in a folder."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
     return found.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.md5("content").alias("md5"), F.col("length").cast(LongType()).alias("size_bytes"))
