@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import narrow
+from .common import narrow, workspace
 
 GRAM = 3
 WINNOW = 2
@@ -114,9 +114,10 @@ class Index:
                 by[k].append((int(places[i]), int(places[i]) - p))
         for k, hits in by.items():
             n, groups = len(self.texts[k]), []
+            stray = min(BAND, max(2, n // 2))  # a notice said again is n words further, not a detour
             for place, diagonal in sorted(hits):
                 for group in reversed(groups[-4:]):
-                    if abs(group[2] - diagonal) <= BAND and place - group[1] <= n:
+                    if abs(group[2] - diagonal) <= stray and place - group[1] <= n:
                         group[1], group[2] = place, diagonal
                         group[3] += 1
                         break
@@ -124,7 +125,7 @@ class Index:
                     groups.append([place, place, diagonal, 1, diagonal])
             for first, last, _, count, diagonal in groups:
                 if count * (self.winnow + self.gram) >= n * COVERAGE / 3 or n <= 4 * self.gram:
-                    yield k, max(0, min(first, diagonal) - BAND), min(len(ids), max(last + self.gram, diagonal + n) + BAND)
+                    yield k, max(0, min(first, diagonal) - stray), min(len(ids), max(last + self.gram, diagonal + n) + stray)
 
     def align(self, k: int, ids: np.ndarray, lo: int, hi: int) -> tuple[int, int, int] | None:
         """Longest common subsequence of the template and words lo to hi - 1, kept within a band around the
@@ -184,14 +185,11 @@ class Index:
 
 _OUT = "doc_id long, matches array<struct<license:string,matched:long,words:long,start:long,end:long>>"
 _MATCH = pa.list_(pa.struct([("license", pa.string()), ("matched", pa.int64()), ("words", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
-_indexes: dict[tuple, Index] = {}
 
 
 def _scanner(templates: tuple[tuple[str, str], ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if templates not in _indexes:
-            _indexes[templates] = Index(list(templates))
-        index = _indexes[templates]
+        index = workspace(("licenses", templates), lambda: Index(list(templates)))
         for batch in batches:
             rows = [[dict(zip(("license", "matched", "words", "start", "end"), m, strict=True)) for m in index.matches(t.as_py())] for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(rows, _MATCH)], names=["doc_id", "matches"])

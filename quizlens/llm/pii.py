@@ -189,8 +189,14 @@ def examples(n: int = 240, seed: int = 7) -> list[tuple[str, list[tuple[str, int
             if luhn(d := digits(16)):
                 return d
 
+    def number(k: int) -> str:
+        """Digits that are no card."""
+        while True:
+            if not luhn(d := digits(k)):
+                return d
+
     def junk() -> str:
-        return r.choice([lambda: f"item {digits(5)}", lambda: digits(16 if r.random() < 0.5 else 14), lambda: f"{digits(1)}.{digits(1)}.", lambda: f"20{digits(2)}-0{r.randint(1, 9)}-1{digits(1)}", lambda: "".join(r.choice("0123456789abcdef") for _ in range(40)), lambda: f"v{digits(1)}.{digits(2)}.{digits(1)}.{digits(3)}9", lambda: f"{digits(3)}-{digits(4)}", lambda: f"({digits(3)})", lambda: digits(10), lambda: f"@{digits(2)}user"])()
+        return r.choice([lambda: f"item {digits(5)}", lambda: number(16 if r.random() < 0.5 else 14), lambda: f"{digits(1)}.{digits(1)}.", lambda: f"20{digits(2)}-0{r.randint(1, 9)}-1{digits(1)}", lambda: "".join(r.choice("0123456789abcdef") for _ in range(40)), lambda: f"v{digits(1)}.{digits(2)}.{digits(1)}.{digits(3)}9", lambda: f"{digits(3)}-{digits(4)}", lambda: f"({digits(3)})", lambda: digits(10), lambda: f"@{digits(2)}user"])()
 
     out = []
     for _ in range(n):
