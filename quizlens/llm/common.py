@@ -12,6 +12,8 @@ from pyspark.sql.types import StructType
 
 #: Rows handed to a worker's kernel at once; bounds a kernel's working set, not its input.
 KERNEL_ROWS = 256
+#: Rows in an Arrow batch between Spark and its workers.
+BATCH_ROWS = 1_000
 #: Characters handed to a worker's kernel at once (a single longer text goes alone).
 KERNEL_CHARS = 1_000_000
 
@@ -39,11 +41,31 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def bounded(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows from now on, so that a worker's share of a batch of long texts stays small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
+_kept: dict[object, object] = {}
+
+
+def workspace(key: object, make):
+    """What ``make`` gives, kept in this worker until something else is asked for: stages that share a worker do not
+    add up their memories."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def narrow(df: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
     """Only the id (as ``doc_id`` long) and the text (null: empty); other columns cannot clash with an operator's own.
 
     ``carry`` keeps the whole row beside them, as the struct ``row``.
     """
+    bounded(df.sparkSession)
     kept = [F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")] if carry else []
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *kept)
 

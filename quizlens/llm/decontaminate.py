@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, extended, narrow, staged
+from .common import carried, extended, narrow, staged, workspace
 
 WINDOW = 13
 #: UTF-8 bytes of items held by one automaton (about 10 nodes a byte at worst). More items make more automata,
@@ -79,15 +79,9 @@ class Matcher:
         return len(ws), ranges, names
 
 
-_built: dict[int, Matcher] = {}
-
-
 def _matcher(shared: Broadcast, window: int) -> Matcher:
-    key = shared._jbroadcast.id() if getattr(shared, "_jbroadcast", None) else id(shared.value)
-    if key not in _built:
-        _built.clear()
-        _built[key] = Matcher(shared.value, window)
-    return _built[key]
+    value = shared.value  # one object in a worker, as long as the workspace holds it
+    return workspace(("matcher", id(value), window), lambda: (Matcher(value, window), value))[0]
 
 
 def _pass(shared: Broadcast, window: int):

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow, staged
+from .common import narrow, staged, workspace
 
 WINDOW = 50
 ANCHOR = 25
@@ -54,7 +54,6 @@ class _Hashes(dict):
         return h
 
 
-_hashes = _Hashes()
 _pow = np.ones(1, np.uint64)
 _inv = np.ones(1, np.uint64)
 
@@ -81,7 +80,7 @@ class Rolling:
 
     def __init__(self, words: list[bytes]):
         self.n = len(words)
-        h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, self.n)
+        h = np.fromiter(map(workspace("words", _Hashes).__getitem__, words), np.uint64, self.n)
         p, self.inv = _powers(self.n + 1)
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * p[: self.n], dtype=np.uint64)])
 

@@ -15,6 +15,8 @@ from itertools import chain
 
 import numpy as np
 
+from .common import workspace
+
 #: Pieces remembered by a worker before it starts anew; bounds its memory, not the texts.
 REMEMBERED = 600_000
 
@@ -122,10 +124,5 @@ class Encoder:
         return out
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
-
-
 def encoder(path: str, pieces: str) -> Encoder:
-    if (path, pieces) not in _encoders:
-        _encoders[path, pieces] = Encoder(path, pieces)
-    return _encoders[path, pieces]
+    return workspace(("encoder", path, pieces), lambda: Encoder(path, pieces))

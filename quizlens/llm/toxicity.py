@@ -28,12 +28,14 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, extended, narrow, staged
+from .common import carried, extended, narrow, staged, workspace
 
 TRAIN_ROWS = 12_000
 #: Weighted features kept by the classifier.
 FEATURES = 20_000
-REMEMBERED = 400_000
+#: Bits of a feature's hash for the first count.
+BUCKET_BITS = 22
+REMEMBERED = 150_000
 #: Logit from which on a single feature decides.
 EVIDENT = math.log(0.9 / 0.1)
 
@@ -181,15 +183,9 @@ def features(word: str) -> list[int]:
     return [zlib.crc32(b"w" + raw), *(zlib.crc32(b"p%d" % k + word[:k].encode("utf-8", "surrogatepass")) for k in range(3, 7) if len(word) >= k)]
 
 
-_models: dict[int, object] = {}
-
-
 def _here(shared: Broadcast, make):
-    key = id(shared.value)
-    if key not in _models:
-        _models.clear()
-        _models[key] = make(shared.value)
-    return _models[key]
+    value = shared.value  # one object in a worker, as long as the workspace holds it
+    return workspace(("toxicity", id(value)), lambda: (make(value), value))[0]
 
 
 def _restorer(grams: tuple[np.ndarray, np.ndarray]) -> Restorer:
@@ -254,20 +250,26 @@ def fit(labels: np.ndarray, rows: list[np.ndarray], keep: int = FEATURES, rounds
     prior = math.log((share * len(labels) + 0.5) / ((1 - share) * len(labels) + 0.5))
     if not len(labels) or share in (0.0, 1.0):
         return Classifier({}, {}, prior, (0.0, 1.0, 0.0))
-    y = labels.astype(float)
+    y = labels.astype(np.float32)
     flat = np.concatenate(rows)
-    of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    ids, inverse = np.unique(flat, return_inverse=True)
-    n1 = np.bincount(inverse, y[of], len(ids))
-    n = np.bincount(inverse, minlength=len(ids)).astype(float)
-    expected = n * share
-    z = np.where(n >= 4, (n1 - expected) / np.sqrt(expected * (1 - share) + 1e-9), 0)
+    of = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    # counts by the low bits first, so that only features of promising buckets are counted exactly
+    low = flat & np.uint32((1 << BUCKET_BITS) - 1)
+    n1 = np.bincount(low[y[of] > 0], minlength=1 << BUCKET_BITS)
+    promising = (n1 >= 2)[low]
+    del low, n1
+    flat, of = flat[promising], of[promising]
+    ids, flat = np.unique(flat, return_inverse=True)
+    n1, n = np.bincount(flat, y[of], len(ids)), np.bincount(flat, minlength=len(ids)).astype(float)
+    z = np.where(n >= 4, (n1 - n * share) / np.sqrt(n * share * (1 - share) + 1e-9), 0)
     top = np.argsort(-z, kind="stable")[:keep]
     top = top[z[top] > 2]
-    index = np.full(len(ids), -1)
+    index = np.full(len(ids), -1, np.int32)
     index[top] = np.arange(len(top))
-    mine = index[inverse]
+    mine = index[flat]
     of, mine = of[mine >= 0], mine[mine >= 0]
+    n1, n, top = n1[top], n[top], ids[top]
+    del flat, index
     k = len(top)
 
     def first(wb: np.ndarray) -> np.ndarray:
@@ -277,11 +279,11 @@ def fit(labels: np.ndarray, rows: list[np.ndarray], keep: int = FEATURES, rounds
     wb = _adam(first, k + 1, rounds, np.append(np.zeros(k), prior))
     linear = np.clip(np.bincount(of, wb[mine], len(rows)) + wb[k], -30, 30)
     best = np.full(len(rows), _LEAST)
-    np.maximum.at(best, of, _floor(n1[top][mine] - y[of], n[top][mine] - 1, share))
+    np.maximum.at(best, of, _floor(n1[mine] - y[of], n[mine] - 1, share))
     x = np.stack([np.ones(len(rows)), linear, best], axis=1)
     stage = _adam(lambda c: x.T @ (_sigmoid(x @ c) - y) / len(rows) + np.array([0, 1e-3, 1e-3]) * c, 3, 600, np.array([prior, 0.1, 0.1]))
-    logits = _floor(n1[top], n[top], share)
-    return Classifier(dict(zip(ids[top].tolist(), wb[:k].tolist(), strict=True)), dict(zip(ids[top].tolist(), logits.tolist(), strict=True)), float(wb[k]), tuple(stage.tolist()))
+    logits = _floor(n1, n, share)
+    return Classifier(dict(zip(top.tolist(), wb[:k].tolist(), strict=True)), dict(zip(top.tolist(), logits.tolist(), strict=True)), float(wb[k]), tuple(stage.tolist()))
 
 
 def _scorer(shared: Broadcast):
@@ -324,10 +326,12 @@ def score(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, t
     known = known.where(learnable(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
     known = staged(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows), "labels")  # at most train_rows rows of two numbers
     shared = spark.sparkContext.broadcast(arrays)
-    rows = corpus.join(F.broadcast(known), "doc_id").select("label", "text").mapInArrow(_vectors(shared), "label int, ids binary").toPandas()
-    order = sorted(range(len(rows)), key=lambda i: (rows["ids"][i], rows["label"][i]))  # the order of tasks does not matter
-    vectors = [np.frombuffer(rows["ids"][i], np.uint32) for i in order]
-    model = fit(rows["label"].to_numpy(np.int64)[order] if len(rows) else np.zeros(0, np.int64), vectors)
+    rows = corpus.join(F.broadcast(known), "doc_id").select("label", "text").mapInArrow(_vectors(shared), "label int, ids binary").toArrow()
+    known_labels, vectors = rows["label"].to_pylist(), rows["ids"].to_pylist()
+    del rows
+    order = sorted(range(len(vectors)), key=lambda i: (vectors[i], known_labels[i]))  # the order of tasks does not matter
+    model = fit(np.array([known_labels[i] for i in order], np.int64), [np.frombuffer(vectors[i], np.uint32) for i in order])
+    del vectors
     ready = spark.sparkContext.broadcast((arrays, model))
     given = narrow(docs, id_col, text_col, carry)
     return given.mapInArrow(_scorer(ready), extended(given, "doc_id long, score double"))
