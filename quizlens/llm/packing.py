@@ -34,7 +34,7 @@ from .common import kernel_slices, narrow, staged
 from .tokens import encoder
 
 CAPACITY = 2048
-GROUPS = 512
+GROUPS = 2048
 #: Lengths up to this part of a sequence are small.
 SMALL_PART = 8
 
