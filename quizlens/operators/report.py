@@ -41,7 +41,8 @@ def exploitation_verdict(treatment: float, control: float) -> str:
 
 
 def _grid(head: list[str], rows: list[list[str]]) -> list[str]:
-    return ["| " + " | ".join(r) + " |" for r in (head, *rows)][:1] + ["|" + "---|" * len(head)] + ["| " + " | ".join(r) + " |" for r in rows]
+    line = lambda cells: "| " + " | ".join(cells) + " |"
+    return [line(head), "|" + "---|" * len(head), *map(line, rows)]
 
 
 def markdown(classifiers: list[dict], results: list[dict]) -> str:
