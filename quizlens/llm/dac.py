@@ -30,41 +30,52 @@ from .tokens import encoder
 
 MAGIC = b"QDAC1\0\0\0"
 RANK_BITS = 512
+#: What another level may cost in bits an id that has to look it up, for the time that takes.
+LEVEL_BITS = 1.0
 #: Tokens after which a file ends, at a document's end.
 FILE_TOKENS = 2_000_000
-_SLICE = 1 << 18
 _NULL = -(1 << 63)
 
 
 def _pack(codes: np.ndarray, width: int) -> bytes:
-    parts = []
-    for lo in range(0, len(codes), _SLICE):  # _SLICE is a multiple of 8, so slices join at whole bytes
-        part = codes[lo : lo + _SLICE]
-        bits = np.empty((len(part), width), np.uint8)
-        for b in range(width):
-            bits[:, b] = (part >> (width - 1 - b)) & 1
-        parts.append(np.packbits(bits).tobytes())
-    return b"".join(parts)
+    """Eight codes make a word of 8 * width bits, of which the low ``width`` bytes are kept."""
+    n = len(codes)
+    lanes = np.zeros(-(-n // 8) * 8, np.uint64)
+    lanes[:n] = codes
+    lanes = lanes.reshape(-1, 8)
+    words = np.zeros(len(lanes), np.uint64)
+    for j in range(8):
+        words |= lanes[:, j] << np.uint64(width * (7 - j))
+    return words.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - width :].tobytes()[: (n * width + 7) // 8]
 
 
 def _unpack(raw: np.ndarray, width: int, n: int) -> np.ndarray:
-    out = np.zeros(n, np.uint32)
-    for lo in range(0, n, _SLICE):
-        m = min(_SLICE, n - lo)
-        bits = np.unpackbits(raw[lo * width // 8 : ((lo + m) * width + 7) // 8], count=m * width).reshape(m, width)
-        for b in range(width):
-            out[lo : lo + m] = (out[lo : lo + m] << 1) | bits[:, b]
-    return out
+    padded = np.zeros((-(-n // 8), width), np.uint8)
+    padded.reshape(-1)[: len(raw)] = raw
+    buffer = np.zeros((len(padded), 8), np.uint8)
+    buffer[:, 8 - width :] = padded
+    words = buffer.view(">u8").ravel().astype(np.uint64)
+    out = np.empty((len(words), 8), np.uint32)
+    for j in range(8):
+        out[:, j] = (words >> np.uint64(width * (7 - j))) & np.uint64((1 << width) - 1)
+    return out.ravel()[:n]
+
+
+def _longer(ids: np.ndarray, top: int) -> list[int]:
+    """How many ids have more than b bits, for b from 0 to ``top``."""
+    if top <= 20:
+        below = np.concatenate(([0], np.cumsum(np.bincount(ids, minlength=1 << top))))
+        return [len(ids)] + [len(ids) - int(below[1 << b]) for b in range(1, top + 1)]
+    return [len(ids)] + [int((ids >= np.uint64(1 << b)).sum()) for b in range(1, top + 1)]
 
 
 def widths(ids: np.ndarray) -> list[int]:
-    """Chunk widths of least total bits: each code of a level costs its width and, below the last level, a mark."""
+    """Chunk widths, of a byte at most, of least total bits: each code of a level costs its width and, before the last level, a mark and LEVEL_BITS."""
     top = max(1, int(ids.max()).bit_length()) if len(ids) else 1
-    # longer[b]: ids of more than b bits
-    longer = [len(ids)] + [int((ids >= (1 << b)).sum()) for b in range(1, top + 1)]
+    longer = _longer(ids, top)
     best: dict[int, tuple[float, list[int]]] = {top: (0, [])}
     for b in range(top - 1, -1, -1):
-        best[b] = min(((longer[b] * (w + (b + w < top)) * (1 + 32 / RANK_BITS * (b + w < top) / (w + 1)) + best[b + w][0], [w, *best[b + w][1]]) for w in range(1, top - b + 1)), key=lambda x: x[0])
+        best[b] = min(((longer[b] * (w + (1 + 32 / RANK_BITS + LEVEL_BITS) * (b + w < top)) + best[b + w][0], [w, *best[b + w][1]]) for w in range(1, min(8, top - b) + 1)), key=lambda x: x[0])
     return best[0][1]
 
 
