@@ -224,7 +224,7 @@ class FMIndex:
 
 # ---- the operator ----------------------------------------------------------------------------------------------
 
-_SCAN = "doc_id long, same long, n_words long, words_sha256 string, fp array<long>, content array<long>, first array<int>, last array<int>"
+_SCAN = "doc_id long, same long, n_words long, words_sha256 string, fp array<long>, content array<long>, more array<int>, firsts array<array<int>>"
 
 
 def _digest(words: list[bytes]) -> str:
@@ -234,17 +234,25 @@ def _digest(words: list[bytes]) -> str:
 def _scan(window: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, sha, lists = [], [], [[], [], [], []]
+            n, sha, lists, each, places = [], [], [[], [], []], [], []
             for text in batch["text"]:
                 words = text.as_py().encode("utf-8", "surrogatepass").split()
                 n.append(len(words))
                 sha.append(_digest(words))
                 fp, first, last, content = regions(words, window, anchor)
-                for k, x in enumerate((fp.view(np.int64), content.view(np.int64), first.astype(np.int32), last.astype(np.int32))):
+                # a region that a document repeats is one row with all its places
+                _, one, which, count = np.unique(content, return_index=True, return_inverse=True, return_counts=True)
+                for k, x in enumerate((fp.view(np.int64)[one], content.view(np.int64)[one], (last - first)[one].astype(np.int32))):
                     lists[k].append(x)
-            sizes = np.concatenate(([0], np.cumsum([len(x) for x in lists[0]]))).astype(np.int32)
-            arrays = [pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(x) if x else np.zeros(0), t)) for x, t in zip(lists, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["same"], pa.array(n, pa.int64()), pa.array(sha, pa.string()), *arrays], names=["doc_id", "same", "n_words", "words_sha256", "fp", "content", "first", "last"])
+                each.append(count)
+                places.append(first[np.argsort(which, kind="stable")].astype(np.int32))
+            offsets = lambda sizes: pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+            flat = lambda x, t: pa.array(np.concatenate(x) if x else np.zeros(0), t)
+            outer = offsets([len(x) for x in lists[0]])
+            arrays = [pa.ListArray.from_arrays(outer, flat(x, t)) for x, t in zip(lists, (pa.int64(), pa.int64(), pa.int32()), strict=True)]
+            inner = pa.ListArray.from_arrays(offsets(np.concatenate(each) if each else []), flat(places, pa.int32()))
+            arrays.append(pa.ListArray.from_arrays(outer, inner))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["same"], pa.array(n, pa.int64()), pa.array(sha, pa.string()), *arrays], names=["doc_id", "same", "n_words", "words_sha256", "fp", "content", "more", "firsts"])
 
     return run
 
@@ -344,11 +352,11 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, shard_w
     of its text), spans (stretches of removed words a to b - 1), text."""
     texts = narrow(docs, id_col, text_col).withColumn("same", F.xxhash64("text"))
     scanned = staged(texts.select("doc_id", "same", "text").mapInArrow(_scan(window, anchor), _SCAN), "scan")
-    anchors = scanned.where("doc_id is not null").select("doc_id", "same", F.inline(F.arrays_zip("fp", "content", "first", "last")))
-    shared = anchors.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("fp")
+    anchors = scanned.where("doc_id is not null").select("doc_id", "same", F.inline(F.arrays_zip("fp", "content", "more", "firsts")))
+    shared = staged(anchors.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("fp"), "shared")
     hits = staged(anchors.join(shared, "fp", "left_semi"), "hits")
-    distinct = hits.groupBy("fp", "content").agg(F.min(F.struct("doc_id", "same", "first", "last")).alias("rep"))
-    distinct = staged(distinct.select("fp", "content", "rep.*"), "regions")
+    distinct = hits.groupBy("fp", "content").agg(F.min(F.struct("doc_id", "same", F.col("firsts")[0].alias("first"), "more")).alias("rep"))
+    distinct = staged(distinct.select("fp", "content", "rep.doc_id", "rep.same", "rep.first", (F.col("rep.first") + F.col("rep.more")).alias("last")), "regions")
     sizes = distinct.groupBy("fp").agg(F.count("*").alias("n"))
     words = distinct.agg(F.sum(F.col("last") - F.col("first") + window)).first()[0] or 0
     found = distinct.join(sizes, "fp").groupBy("doc_id", "same").agg(F.collect_list(F.struct("fp", "content", "first", "last", "n")).alias("found"))  # a document's own regions
@@ -364,7 +372,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, shard_w
     split = single.select("key", "fp", "content", "idx").join(search(mini).select(F.col("fp").alias("key"), F.col("smallest")[0].alias("one")), "key")
     split = split.groupBy("fp", "content").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "one"))), lambda x: x["one"]).alias("smallest"))  # a region's own windows
     smallest = staged(whole.unionByName(split), "smallest")
-    ranges = hits.join(smallest, ["fp", "content"]).select("doc_id", "same", "first", "smallest").mapInArrow(_ranges(window), "doc_id long, same long, a int, b int")
+    losing = hits.join(smallest, ["fp", "content"]).where(F.array_min("smallest") < F.col("doc_id"))
+    ranges = losing.select("doc_id", "same", F.explode("firsts").alias("first"), "smallest").mapInArrow(_ranges(window), "doc_id long, same long, a int, b int")
     spans = ranges.groupBy("doc_id", "same").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"))  # a document's own stretches
     return scanned.select("doc_id", "same", "n_words", "words_sha256"), candidates.select("doc_id", "same", "text").join(spans, ["doc_id", "same"])
 
