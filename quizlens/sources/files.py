@@ -33,7 +33,8 @@ def read_items(spark: SparkSession, folder: str, domains: tuple[str, ...] = DOMA
     """domain (the file's name), load_seq, item_id, question, options, answer of all domains present, in one scan.
 
     ``strict``: a line that is no JSON object fails the query; else it is left out. load_seq orders rows as the files
-    do: by domain, then by Spark's row number within ordered file splits.
+    do: by domain, then by Spark's row ids, which rise within a file, as its equal splits are dealt in order and its
+    shorter last one after them.
     """
     paths = domain_paths(spark, folder, domains)
     if not paths:
