@@ -140,7 +140,7 @@ class Restorer:
 
     def __init__(self, model: CharModel):
         self.model = model
-        self.known: dict[str, tuple[str, ...]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}  # features by token
 
     def token(self, token: str) -> tuple[str, ...]:
         if _PLAIN(token):
@@ -149,22 +149,28 @@ class Restorer:
             return (*_LETTERS(token), *self.model.decode(token).split())
         return tuple(_LETTERS(token))
 
-    def words(self, text: str) -> set[str]:
-        """Distinct restored words; a disguised token also counts as it stands."""
+    def found(self, text: str, wanted: dict[int, float] | None = None) -> set[int]:
+        """Features of the restored words (a disguised token also counts as it stands): all, or those wanted, which must
+        be the same in each call."""
         text = text.lower()
-        out: set[str] = set()
+        out: set[int] = set()
         known = self.known
         for token in set(text.split()):
-            found = known.get(token)
-            if found is None:
+            ids = known.get(token)
+            if ids is None:
                 if len(known) >= REMEMBERED:
                     known.clear()
-                found = known[token] = self.token(token)
-            out.update(found)
+                ids = known[token] = tuple(self._features(self.token(token), wanted))
+            if ids:
+                out.update(ids)
         for m in _SPACED.finditer(text):
-            out.update(self.model.decode(m[0]).split())
+            out.update(self._features(self.model.decode(m[0]).split(), wanted))
         return out
 
+    @staticmethod
+    def _features(words, wanted: dict[int, float] | None) -> list[int]:
+        return [f for w in words for f in features(w) if wanted is None or f in wanted]
+
     def text(self, text: str) -> str:
         """The whole text, lower-cased, with disguised stretches restored and all else as it stands."""
 
@@ -177,10 +183,17 @@ class Restorer:
         return re.sub(r"\S+", token, _SPACED.sub(spaced, text.lower()))
 
 
+_WHOLE = zlib.crc32(b"w")
+_BEGIN = [(k, zlib.crc32(b"p%d" % k)) for k in range(3, 7)]
+
+
 def features(word: str) -> list[int]:
     """Hashed features of a word: itself and its first 3 to 6 letters."""
     raw = word.encode("utf-8", "surrogatepass")
-    return [zlib.crc32(b"w" + raw), *(zlib.crc32(b"p%d" % k + word[:k].encode("utf-8", "surrogatepass")) for k in range(3, 7) if len(word) >= k)]
+    n = len(word)
+    if len(raw) == n:
+        return [zlib.crc32(raw, _WHOLE), *[zlib.crc32(raw[:k], seed) for k, seed in _BEGIN if k <= n]]
+    return [zlib.crc32(raw, _WHOLE), *[zlib.crc32(word[:k].encode("utf-8", "surrogatepass"), seed) for k, seed in _BEGIN if k <= n]]
 
 
 def _here(shared: Broadcast, make):
@@ -196,7 +209,7 @@ def _vectors(shared: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = _here(shared, _restorer)
         for batch in batches:
-            out = [np.array(sorted({f for w in restorer.words(t.as_py()) for f in features(w)}), np.uint32).tobytes() for t in batch["text"]]
+            out = [np.array(sorted(restorer.found(t.as_py())), np.uint32).tobytes() for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["label"], pa.array(out, pa.binary())], names=["label", "ids"])
 
     return run
@@ -289,22 +302,9 @@ def fit(labels: np.ndarray, rows: list[np.ndarray], keep: int = FEATURES, rounds
 def _scorer(shared: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, model = shared.value
-        weights = model.weights
         restorer = _here(shared, lambda x: _restorer(x[0]))
-        weighted: dict[str, tuple[int, ...]] = {}
         for batch in batches:
-            scores = []
-            for text in batch["text"]:
-                found: set[int] = set()
-                for w in restorer.words(text.as_py()):
-                    ids = weighted.get(w)
-                    if ids is None:
-                        if len(weighted) >= REMEMBERED:
-                            weighted.clear()
-                        ids = weighted[w] = tuple(f for f in features(w) if f in weights)
-                    if ids:
-                        found.update(ids)
-                scores.append(model.score(sorted(found)))
+            scores = [model.score(sorted(restorer.found(text.as_py(), model.weights))) for text in batch["text"]]
             yield carried(batch, {"doc_id": batch["doc_id"], "score": pa.array(scores, pa.float64())})
 
     return run
