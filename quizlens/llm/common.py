@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -21,13 +23,18 @@ KERNEL_CHARS = 1_000_000
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder below the cluster's shared ``spark.checkpoint.dir``.
 
-    Only where that setting is unset (local runs and tests) a temporary folder is chosen and stored in it.
+    Only where that setting is unset (local runs and tests) a temporary folder is chosen, stored in it, and removed with the process.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="quizlens-")
+        folder = tempfile.mkdtemp(prefix="quizlens-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    # with its scheme, so that Spark and the workers' own readers and writers mean the same place
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return f"{whole.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
