@@ -37,8 +37,8 @@ from .common import narrow, staged, workspace
 
 WINDOW = 50
 ANCHOR = 25
-SHARD_WORDS = 250_000
-HOT_REGIONS = 2_048
+SHARD_WORDS = 100_000
+HOT_REGIONS = 1_024
 #: Region texts that a worker holds before it hands them on.
 CUT_ROWS = 4_096
 
