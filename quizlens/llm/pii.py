@@ -3,8 +3,10 @@
 Patterns give base spans (e-mail, IP, card, phone), which always stay. The field labels tokens that may be part of
 personal data: neighbours are linked as a chain, and mentions of the same data anywhere in the document (equal
 letters and digits, or equal digits of a long number) are linked by skip edges. Tokens inside base spans are
-observed; loopy message passing carries their labels over the edges, so that a short or differently written
-mention later in a document gets the label of the full one. A token without digit or @ has label O by definition and no edge, so
+observed; loopy message passing carries their labels over the edges until messages converge, so that a short or
+differently written mention later in a document gets the label of the full one. Each mention is linked to
+the first observed one of each label, so all have the same evidence, however many there are; mentions of data that is
+never observed are linked to the one before. A token without digit or @ has label O by definition and no edge, so
 only documents with such characters cost more than the patterns.
 
 The field's weights are trained by pseudo-likelihood on labelled documents drawn from templates (``examples``), the
@@ -21,6 +23,7 @@ import random
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,9 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
 #: Probability from which on the field adds a span.
 SURE = 0.9
-ROUNDS = 12
+#: Messages that change by less than this have converged; where loops keep them moving, each DAMP_AFTER rounds halve the step.
+CONVERGED = 1e-4
+DAMP_AFTER = 50
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
@@ -139,7 +144,18 @@ class Graph:
             for key in {("t", letters), ("d", digits)} if len(digits) >= 7 else {("t", letters)}:
                 if len(key[1]) >= 4:
                     same[key].append(node)
-        for nodes in same.values():  # a mention is linked to the one before it, so edges grow with mentions
+        told: set[int] = set()  # mentions linked to an observed one
+        for nodes in same.values():
+            first: dict[int, int] = {}  # the first mention observed with a label
+            for node in nodes:
+                if self.observed[node] >= 0:
+                    first.setdefault(self.observed[node], node)
+            if first:
+                mentions = [node for node in nodes if self.observed[node] < 0]
+                told.update(mentions)
+                self.skip += [(seen, node) for node in mentions for seen in first.values()]
+        for nodes in same.values():  # others are linked to the one before them, so edges grow with mentions
+            nodes = [node for node in nodes if self.observed[node] < 0 and node not in told]
             self.skip += zip(nodes[:-1], nodes[1:], strict=True)
 
 
@@ -149,12 +165,12 @@ class Field:
     def __init__(self, unary: np.ndarray, chain: np.ndarray, skip: np.ndarray):
         self.unary, self.chain, self.skip = unary, chain, skip
 
-    def marginals(self, graph: Graph, rounds: int = ROUNDS) -> np.ndarray:
-        """Beliefs of all nodes by damped loopy sum-product in log space."""
+    def marginals(self, graph: Graph, rounds: int | None = None) -> np.ndarray:
+        """Beliefs of all nodes by damped loopy sum-product in log space, until messages converge or after ``rounds``."""
         n, k = len(graph.spans), len(LABELS)
         own = np.array(graph.features, float).reshape(n, N_FEATURES) @ self.unary
         seen = np.array(graph.observed)
-        own[seen >= 0] = -50.0
+        own[seen >= 0] = -1e9  # more than the messages of any number of mentions
         own[seen >= 0, seen[seen >= 0]] = 0.0
         edges = np.array([*graph.chain, *graph.skip], np.int64).reshape(-1, 2)
         if len(edges):
@@ -164,14 +180,18 @@ class Field:
             pair = np.concatenate([pair, pair.transpose(0, 2, 1)])  # [message, from, to]
             back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
             message = np.zeros((len(src), k))
-            for _ in range(rounds):
+            for turn in count():
+                step = 0.5 / 2 ** (turn // DAMP_AFTER)
                 total = own.copy()
                 np.add.at(total, dst, message)
                 x = (total[src] - message[back])[:, :, None] + pair
                 top = x.max(axis=1, keepdims=True)
                 new = (top + np.log(np.exp(x - top).sum(axis=1, keepdims=True)))[:, 0]
                 new -= new.max(axis=1, keepdims=True)
-                message = 0.5 * message + 0.5 * new
+                change = step * np.abs(new - message).max()
+                message = (1 - step) * message + step * new
+                if change < CONVERGED or turn + 1 == rounds:
+                    break
             np.add.at(own, dst, message)
         own -= own.max(axis=1, keepdims=True)
         p = np.exp(own)

@@ -117,6 +117,18 @@ def test_the_field_finds_other_mentions_and_leaves_the_rest():
     assert pii.spans_of(field, ["plain words only", "", "order 12345 of 2024"]) == ([[], [], []], [[], [], []])
 
 
+def test_a_hundred_mentions_get_the_label_of_the_observed_one():
+    field = pii.train()
+    for where in (0, 50, 100):
+        parts = [f"they wrote 555-3824 again {'so ' * (i % 3)}and left" for i in range(100)]
+        parts.insert(where, "call +1 (743) 555-3824 first")
+        text = " ".join(parts)
+        (base,), (added,) = pii.spans_of(field, [text])
+        wanted = [m.span() for m in re.finditer("wrote (555-3824)", text)]
+        assert [k for k, _, _ in base] == ["phone"]
+        assert [(k, a, b) for k, a, b in added] == [("phone", a + 6, b) for a, b in wanted]
+
+
 def test_message_passing_follows_exact_marginals_on_a_tree():
     import itertools
 
