@@ -17,8 +17,6 @@ component's name unless its component has no other id; an empty table gives an e
 
 from __future__ import annotations
 
-import math
-import random
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -187,6 +185,15 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
+def _pairs_of_chunks(rows: DataFrame, chunks: str, sides: list[str]) -> DataFrame:
+    """``rows`` with side and (i, j) for each task they belong to; see ``_dealt``."""
+    task = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    mine, none = F.col("mine"), F.array().cast("array<struct<i:int,j:int,side:int>>")
+    queries = F.transform(F.sequence(F.lit(0), mine), lambda i: task(i, mine, 1))
+    trees = F.when(mine + 1 < F.col(chunks), F.transform(F.sequence(mine + 1, F.col(chunks) - 1), lambda j: task(mine, j, 0))).otherwise(none)
+    return rows.select(*sides, F.inline(F.concat(queries, trees)))
+
+
 def _dealt(nodes: DataFrame, masks: list[int]) -> DataFrame:
     """Rows of ``nodes`` (with ``fp``) for each shard they belong to: those that agree in one of the masks.
 
@@ -197,11 +204,7 @@ def _dealt(nodes: DataFrame, masks: list[int]) -> DataFrame:
     sizes = keyed.groupBy("t", "k").count().where("count > 1")
     keyed = keyed.join(sizes, ["t", "k"]).withColumn("chunks", F.ceil(F.col("count") / F.lit(SHARD_LIMIT)).cast("int"))
     keyed = keyed.withColumn("mine", F.pmod(F.xxhash64(*nodes.columns, "t"), F.col("chunks")).cast("int"))
-    task = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
-    mine, none = F.col("mine"), F.array().cast("array<struct<i:int,j:int,side:int>>")
-    queries = F.transform(F.sequence(F.lit(0), mine), lambda i: task(i, mine, 1))
-    trees = F.when(mine + 1 < F.col("chunks"), F.transform(F.sequence(mine + 1, F.col("chunks") - 1), lambda j: task(mine, j, 0))).otherwise(none)
-    dealt = keyed.select(*nodes.columns, "t", "k", F.inline(F.concat(queries, trees))).select(*nodes.columns, "side", F.xxhash64("t", "k", "i", "j").alias("shard"))
+    dealt = _pairs_of_chunks(keyed, "chunks", [*nodes.columns, "t", "k"]).select(*nodes.columns, "side", F.xxhash64("t", "k", "i", "j").alias("shard"))
     return dealt.repartition("shard").sortWithinPartitions("shard")
 
 
@@ -254,92 +257,116 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius:
 
 
 # ---- groups of similar texts -----------------------------------------------------------------------------------
-# A similarity of 0.8 on five-word shingles is some ten differing bits, too many for blocks that must agree. Two-word
-# shingles bring such texts within NEAR bits; tables of sampled bits route them to shard trees, a wide fingerprint of the
-# five-word shingles picks each text's nearest in a tree, and the shingles themselves decide.
+# Texts that agree in a band of minima over their distinct shingles may be similar, whatever the kind of edit and however
+# often a line is repeated. Texts joined by such bands, directly or over others, are compared on their whole sets of
+# shingles, all with all: no text has only some partners, and the classes do not depend on any order.
 
 SIMILAR_WORDS = 5
 SIMILARITY = 0.8
-NEAR = 9
-WIDE = 256
-#: Distance and recall that the number of tables is chosen for.
-TABLE_DISTANCE, TABLE_RECALL = 7, 0.97
+#: Bands of MinHash minima; texts that share a part s of their shingles agree in a band with probability
+#: 1 - (1 - s ** BAND_MINIMA) ** BANDS: 0.9998 at 0.8, 0.36 at 0.5.
+BANDS, BAND_MINIMA = 28, 6
+#: Shingles in one comparison; larger groups are compared as pairs of chunks.
+COMPARE_LIMIT = 1_000_000
 
 
-def sketch(text: str, k: int = SIMILAR_WORDS) -> tuple[int, bytes]:
-    """Fingerprint of the two-word shingles, and one of WIDE bits of the k-word shingles."""
+def shingle_hashes(text: str, k: int = SIMILAR_WORDS) -> np.ndarray:
+    """Sorted hashes of the distinct k-word shingles; blank texts have one, of no word."""
     ws = text.encode("utf-8", "surrogatepass").lower().split()
-    if not ws:
-        return 0, bytes(WIDE // 8)
-    joined = b" ".join(ws)
-    ends = np.cumsum(np.fromiter(map(len, ws), np.int64, len(ws)) + 1)
-    if len(ws) <= k:
-        x = np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
-    else:
-        starts = np.concatenate(([0], ends[:-1]))[: len(ws) - k + 1].tolist()
-        digest = xxhash.xxh64_digest
-        x = np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist(), strict=True)]), ">u8").astype(np.uint64)
-    ones = np.zeros(WIDE, np.int64)
-    for lo in range(0, len(x), 4096):
-        part = x[lo : lo + 4096, None] * np.arange(1, WIDE // 32, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        part ^= part >> np.uint64(29)
-        part *= np.uint64(0xBF58476D1CE4E5B9)
-        part ^= part >> np.uint64(32)
-        ones += np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1).sum(axis=0, dtype=np.int64)
-    return fingerprint(text, 2), np.packbits(2 * ones > len(x)).tobytes()
-
-
-def wide_limit(similarity: float) -> int:
-    """Most differing bits of WIDE that texts of this similarity should have: the expected number and two deviations."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(WIDE * p + 2 * math.sqrt(WIDE * p * (1 - p)))
-
-
-def _sketches(k: int):
+    hashes = {xxhash.xxh64_digest(b" ".join(ws[i : i + k]), SEED) for i in range(max(1, len(ws) - k + 1))}
+    return np.sort(np.frombuffer(b"".join(hashes), np.int64))
+
+
+_MIX = np.array([xxhash.xxh64_intdigest(str(i).encode(), 9) | 1 for i in range(BANDS * BAND_MINIMA)], np.uint64)
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band: texts of equal key agree in all its minima."""
+    low = np.full(len(_MIX), _U64, np.uint64)
+    for lo in range(0, len(hashes), 512):
+        x = hashes[lo : lo + 512].view(np.uint64) * _MIX[:, None]
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        np.minimum(low, x.min(axis=1), out=low)
+    keys = np.zeros(BANDS, np.uint64)
+    for part in low.reshape(BANDS, BAND_MINIMA).T:
+        keys = (keys ^ part) * np.uint64(0xBF58476D1CE4E5B9)
+        keys ^= keys >> np.uint64(29)
+    return keys.view(np.int64)
+
+
+def _banded(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [sketch(t.as_py(), k) for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["same"], pa.array(np.array([m[0] for m in made], np.uint64).view(np.int64)), pa.array([m[1] for m in made], pa.binary())], names=["doc_id", "same", "fp", "wide"])
+            keys = [band_keys(shingle_hashes(t.as_py(), k)) for t in batch["text"]]
+            flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64), pa.int64())
+            offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["same"], pa.ListArray.from_arrays(offsets, flat)], names=["doc_id", "same", "keys"])
 
     return run
 
 
-def _nearest(near: int, limit: int):
-    """Rows come sorted by shard; each row with the row before it in its shard that is most similar, if one is similar enough."""
+def _shingled(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_hashes(t.as_py(), k) for t in batch["text"]]
+            yield pa.RecordBatch.from_arrays([batch["same"], batch["comp"], pa.array(map(len, sets), pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["same", "comp", "n", "shingles"])
+
+    return run
+
+
+def similar_classes(held: list[np.ndarray], asked: list[np.ndarray] | None, similarity: float) -> np.ndarray:
+    """A class number for each of ``held`` and then of ``asked``, all of whose sets are compared with all of ``held``
+    (None: ``held`` with each other). How many shingles two sets share is counted exactly, on an inverted index."""
+    n = len(held)
+    sizes = np.array([*map(len, held)], np.int64)
+    flat = np.concatenate(held)
+    order = np.argsort(flat, kind="stable")
+    owner = np.repeat(np.arange(n), sizes)[order]
+    known, starts = np.unique(flat[order], return_index=True)
+    starts = np.append(starts, len(flat))
+    label = np.arange(n + len(asked or ()))
+    for i, x in enumerate(asked if asked is not None else held, n if asked is not None else 0):
+        at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+        at = at[known[at] == x]
+        many = starts[at + 1] - starts[at]
+        if not len(at):
+            continue
+        places = np.repeat(starts[at] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
+        shared = np.bincount(owner[places], minlength=n)
+        for j in np.unique(label[:n][shared >= similarity * (len(x) + sizes - shared)]):
+            if j != label[i]:
+                label[label == max(j, label[i])] = min(j, label[i])
+    return label
+
+
+def _compare(similarity: float):
+    """Rows come sorted by shard; each row with the smallest row of its class in the shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, tree, queries, out = None, [], [], []
+        key, names, sets = None, ([], []), ([], [])
+        out: list[tuple[int, int]] = []
 
         def settle() -> None:
-            bk, held = BKTree(), []  # a node's rows
-
-            def insert(row) -> None:
-                node = bk.insert(row[1])
-                if node == len(held):
-                    held.append([])
-                held[node].append(row)
-
-            for row in tree:
-                insert(row)
-            for row in queries:
-                best = min((((row[2] ^ other[2]).bit_count(), other[0]) for node in bk.within(row[1], near) for other in held[node]), default=None)
-                if best and best[0] <= limit:
-                    out.append((row[0], best[1]))
-                if not tree:
-                    insert(row)
+            every = [*names[0], *names[1]]
+            if len(every) > 1:
+                label = similar_classes(sets[0], sets[1], similarity) if sets[0] else similar_classes(sets[1], None, similarity)
+                least: dict[int, int] = {}
+                for name, c in zip(every, label.tolist(), strict=True):
+                    least[c] = min(name, least.get(c, name))
+                out.extend((name, least[c]) for name, c in zip(every, label.tolist(), strict=True) if name != least[c])
 
         for batch in batches:
-            for shard, side, doc, fp, wide in zip(*(batch[c].to_pylist() for c in ("shard", "side", "doc_id", "fp", "wide")), strict=True):
+            for shard, side, same, shingles in zip(*(batch[c].to_pylist() for c in ("shard", "side", "same", "shingles")), strict=True):
                 if shard != key:
-                    if len(tree) + len(queries) > 1:
-                        settle()
-                    key, tree, queries = shard, [], []
-                (tree if side == 0 else queries).append((doc, fp & _U64, int.from_bytes(wide, "big")))
+                    settle()
+                    key, names, sets = shard, ([], []), ([], [])
+                names[side].append(same)
+                sets[side].append(np.frombuffer(shingles, np.int64))
             if out:
                 yield _edges(out)
                 out.clear()
-        if len(tree) + len(queries) > 1:
-            settle()
+        settle()
         if out:
             yield _edges(out)
 
@@ -347,54 +374,41 @@ def _nearest(near: int, limit: int):
 
 
 def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"a": pa.array([max(p) for p in pairs], pa.int64()), "b": pa.array([min(p) for p in pairs], pa.int64())})
-
-
-def _shingles(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text in batch["text"]:
-                ws = text.as_py().encode("utf-8", "surrogatepass").lower().split()
-                hashes = {xxhash.xxh64_digest(b" ".join(ws[i : i + k]), SEED) for i in range(max(1, len(ws) - k + 1))} if ws else set()
-                out.append(np.frombuffer(b"".join(hashes), np.int64))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
-
-    return run
+    return pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
 
-def verified(edges: DataFrame, texts: DataFrame, which: DataFrame, k: int, similarity: float) -> DataFrame:
-    """Edges between ids whose texts share the wanted part of their distinct k-word shingles. ``which``: doc_id, same of an id's text."""
-    ends = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(which, "doc_id")
-    sets = staged(texts.join(ends, ["doc_id", "same"]).dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(_shingles(k), "doc_id long, shingles array<long>"), "shingles")
-    of = lambda name: sets.select(F.col("doc_id").alias(name), F.col("shingles").alias(f"of_{name}"))
-    both = edges.join(of("a"), "a").join(of("b"), "b")
-    shared = F.size(F.array_intersect("of_a", "of_b"))
-    return both.where(shared >= similarity * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
+def _whole(comp: DataFrame) -> DataFrame:
+    """``components`` with a row for each smallest node, too."""
+    return comp.unionByName(comp.select(F.col("comp").alias("node"), "comp").distinct())
 
 
-def tables(n: int) -> list[int]:
-    """Masks of sampled bits: as many bits as spread n rows, as many tables as reach the recall at the distance."""
-    bits = min(32, max(12, math.ceil(math.log2(max(2, n) / 16))))
-    agree = ((64 - TABLE_DISTANCE) / 64) ** bits
-    count = math.ceil(math.log(1 - TABLE_RECALL) / math.log(1 - agree))
-    return [sum(1 << i for i in random.Random(t).sample(range(64), bits)) for t in range(count)]
+def similar_links(texts: DataFrame, nodes: DataFrame, k: int, similarity: float) -> DataFrame:
+    """(a, b): texts (by ``same``) and the smallest of their class in a shard. ``nodes``: doc_id, same, keys."""
+    bands = nodes.select("same", F.posexplode("keys").alias("t", "k"))
+    low = bands.groupBy("t", "k").agg(F.min("same").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
+    near = components(bands.join(low, ["t", "k"]).where("same <> low").select(F.col("same").alias("a"), F.col("low").alias("b")))
+    member = _whole(near).withColumnRenamed("node", "same").join(nodes.select("doc_id", "same"), "same")
+    found = texts.join(member, ["doc_id", "same"]).dropDuplicates(["same"]).select("same", "comp", "text")
+    sets = staged(found.mapInArrow(_shingled(k), "same long, comp long, n long, shingles binary"), "shingles")
+    sizes = sets.groupBy("comp").agg(F.ceil(F.sum("n") / F.lit(COMPARE_LIMIT)).cast("int").alias("chunks"))
+    dealt = sets.join(sizes, "comp").withColumn("mine", F.pmod(F.xxhash64("same"), F.col("chunks")).cast("int"))
+    dealt = _pairs_of_chunks(dealt, "chunks", ["comp", "same", "shingles"]).select("same", "shingles", "side", F.xxhash64("comp", "i", "j").alias("shard"))
+    return dealt.repartition("shard").sortWithinPartitions("shard", "side", "same").mapInArrow(_compare(similarity), "a long, b long")
 
 
 def similar_groups(docs: DataFrame, shingle_words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, same (hash of the text), keep: true for one row of each group of similar texts, the smallest id's.
 
-    Rows of equal sketch are one group whatever their ids; rows without an id join no others. Ties of one id go to
+    Rows of equal text are one group whatever their ids; rows without an id join no others. Ties of one id go to
     the smaller ``same``; rows equal in both are for the caller to drop.
     """
     texts = narrow(docs, id_col, text_col).withColumn("same", F.xxhash64("text"))
-    made = staged(texts.select("doc_id", "same", "text").mapInArrow(_sketches(shingle_words), "doc_id long, same long, fp long, wide binary"), "sketches")
-    first = made.groupBy("fp", "wide").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "same")).alias("first"))
-    first = staged(first.select("fp", "wide", "first.doc_id", F.col("first.same").alias("first_same")), "firsts")
-    nodes = first.where("doc_id is not null").select("doc_id", "fp", "wide")
-    edges = staged(_dealt(nodes, tables(nodes.count())).mapInArrow(_nearest(NEAR, wide_limit(similarity)), "a long, b long").distinct(), "nearest")
-    comp = components(verified(edges, texts, first.select("doc_id", F.col("first_same").alias("same")), shingle_words, similarity))
-    lost = comp.select(F.col("node").alias("doc_id")).withColumn("moved", F.lit(True))
-    kept = first.join(lost, "doc_id", "left").select("fp", "wide", F.col("doc_id").alias("first_id"), "first_same", F.col("moved").isNull().alias("stays"))
-    stays = F.col("stays") & F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("same") == F.col("first_same"))
-    return made.join(kept, ["fp", "wide"]).select("doc_id", "same", stays.alias("keep"))
+    made = staged(texts.select("doc_id", "same", "text").mapInArrow(_banded(shingle_words), "doc_id long, same long, keys array<long>"), "bands")
+    first = made.groupBy("same").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id")).alias("first"), F.first("keys").alias("keys"))
+    first = staged(first.select("same", "first.doc_id", "keys"), "firsts")
+    links = similar_links(texts, first.where("doc_id is not null"), shingle_words, similarity)
+    member = _whole(components(links)).withColumnRenamed("node", "same").join(first.select("same", "doc_id"), "same")
+    best = member.groupBy("comp").agg(F.min(F.struct("doc_id", "same")).alias("best"))
+    lost = member.join(best, "comp").where("same <> best.same").select("same", F.lit(True).alias("moved"))
+    kept = staged(first.select("same", F.col("doc_id").alias("first_id")).join(lost, "same", "left").select("same", "first_id", F.col("moved").isNull().alias("stays")), "kept")
+    return made.select("doc_id", "same").join(kept, "same").select("doc_id", "same", (F.col("stays") & F.col("doc_id").eqNullSafe(F.col("first_id"))).alias("keep"))

@@ -124,6 +124,33 @@ def test_similar_groups_keep_one_of_each_and_all_others(spark):
     assert not (5001 in kept and 5002 in kept) and 0 in kept and 5000 not in kept
 
 
+def kept_ids(spark, rows):
+    return {r.doc_id for r in simhash.similar_groups(frame(spark, rows)).collect() if r.keep}
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 60_000])
+def test_one_of_a_thousand_edited_copies_stays(spark, monkeypatch, limit):
+    monkeypatch.setattr(simhash, "COMPARE_LIMIT", limit)
+    rng, words = random.Random(31), vocabulary(3000)
+    tokens = prose(rng, words, 300).split(" ")
+    rows = [(500, " ".join(tokens))]  # the original's id is among those of its copies
+    for i in [*range(500), *range(501, 1001)]:
+        copy = list(tokens)
+        for at in rng.sample(range(300), 5):
+            copy[at] = f"edit{i}x{at}"
+        rows.append((i, " ".join(copy)))
+    sets = [shingles(t) for _, t in rows]
+    reached, rest = [sets[0]], sets[1:]  # brute force: all are one class of links of at least 0.8
+    while reached and rest:
+        x = reached.pop()
+        near = [s for s in rest if len(x & s) >= 0.8 * len(x | s)]
+        reached += near
+        rest = [s for s in rest if len(x & s) < 0.8 * len(x | s)]
+    others = [(2000 + i, prose(rng, words, 200)) for i in range(20)]
+    kept = kept_ids(spark, rows + others)
+    assert not rest and {d for d in kept if d < 2000} == {0} and len(kept) == 21
+
+
 # ---- substring removal -----------------------------------------------------------------------------------------
 
 
