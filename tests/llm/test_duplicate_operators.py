@@ -151,6 +151,21 @@ def test_one_of_a_thousand_edited_copies_stays(spark, monkeypatch, limit):
     assert not rest and {d for d in kept if d < 2000} == {0} and len(kept) == 21
 
 
+def test_added_passages_and_repeated_lines_are_found(spark):
+    rng, words = random.Random(32), vocabulary(3000)
+    rows = []
+    for i in range(60):
+        text = prose(rng, words, rng.randint(200, 400))
+        n = len(text.split())
+        line = prose(rng, words, 8)
+        copies = [text + " " + prose(rng, words, round(n * 0.22)), prose(rng, words, round(n * 0.14)) + " " + text]
+        copies += [text + "\n" + line] if i % 2 else []
+        copies += [text + ("\n" + line) * 25] if i % 2 else [" ".join(text.split()[round(n * 0.17) :])]
+        assert all(len(shingles(c) & shingles(text)) >= 0.8 * len(shingles(c) | shingles(text)) for c in copies)
+        rows += [(10 * i + k, c) for k, c in enumerate([text, *copies])]
+    assert kept_ids(spark, rows) == {10 * i for i in range(60)}
+
+
 # ---- substring removal -----------------------------------------------------------------------------------------
 
 
