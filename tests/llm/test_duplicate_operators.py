@@ -166,6 +166,13 @@ def test_added_passages_and_repeated_lines_are_found(spark):
     assert kept_ids(spark, rows) == {10 * i for i in range(60)}
 
 
+def test_different_texts_with_long_runs_stay(spark):
+    rng, words = random.Random(33), vocabulary(3000)
+    rows = [(i, f"{prose(rng, words, 60)} {sign * 200} {prose(rng, words, 40)}") for i, sign in enumerate(["- ", "| ", "0 ", "no "] * 15)]
+    rows += [(100 + i, t.replace(" ", " \n")) for i, t in rows[:5]]  # the same words: these go
+    assert kept_ids(spark, rows) == set(range(60))
+
+
 # ---- substring removal -----------------------------------------------------------------------------------------
 
 
