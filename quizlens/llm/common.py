@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import re
 import shutil
 import tempfile
 import uuid
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,28 +23,58 @@ BATCH_ROWS = 1_000
 KERNEL_CHARS = 1_000_000
 
 
+def _is_local(spark: SparkSession) -> bool:
+    return bool(re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master))
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder below the cluster's shared ``spark.checkpoint.dir``.
 
-    Only where that setting is unset (local runs and tests) a temporary folder is chosen, stored in it, and removed with the process.
+    Only a local master may do without that setting: a temporary folder then serves, and is removed with the process.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        folder = tempfile.mkdtemp(prefix="quizlens-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        root = f"file://{folder}"
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not _is_local(spark):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = f"file://{_own_folder()}"
     # with its scheme, so that Spark and the workers' own readers and writers mean the same place
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
     return f"{whole.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage ends there, and lost executors lose nothing."""
-    path = scratch(df.sparkSession, label)
+@cache
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="quizlens-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def staged(df: DataFrame, label: str, frees: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: lineage ends there, and lost executors lose nothing.
+
+    ``frees``: staged tables that nothing reads after this; their folders go. Tables that a result still reads stay
+    until the process ends.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    free(*frees)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    atexit.register(_remove, spark, path)
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    for t in tables:
+        _remove(t.sparkSession, t.staged_at)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended; the folder may be gone
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +100,11 @@ def workspace(key: object, make):
     return _kept[key]
 
 
+def released() -> None:
+    """Forget what earlier kernels have left in this worker; for kernels that keep nothing."""
+    _kept.clear()
+
+
 def narrow(df: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
     """Only the id (as ``doc_id`` long) and the text (null: empty); other columns cannot clash with an operator's own.
 

@@ -7,7 +7,8 @@ scanned once, word by word, whatever the number of windows.
 
 Defined results: a null or empty text has no words and no hits; an item without words has no window; an item with
 fewer words than a window is one window; repeated item ids count once; a null item id is named "null"; repeated
-document rows give one row each; a null document id stays null; an empty benchmark gives no hits.
+document rows give one row each; a null document id stays null; an empty benchmark gives no hits; a benchmark of more than BENCHMARK_BYTES
+is an error, not cut.
 """
 
 from __future__ import annotations
@@ -22,18 +23,20 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, extended, narrow, staged, workspace
+from .common import carried, extended, narrow, workspace
 
 WINDOW = 13
-#: UTF-8 bytes of items held by one automaton (about 10 nodes a byte at worst). More items make more automata,
-#: applied one after another; each pass adds to the hits of the former, so the result is the same.
-AUTOMATON_BYTES = 2_000_000
+#: UTF-8 bytes of distinct items held by one automaton (about 3 nodes a byte). Where a benchmark has more, a task
+#: holds BUFFER_CHARS characters of documents and applies one automaton after another to them: documents are read once,
+#: and the hits are those of one automaton.
+AUTOMATON_BYTES = 4_000_000
+BUFFER_CHARS = 64_000_000
+#: UTF-8 bytes of distinct items beyond which the operator refuses to broadcast them.
+BENCHMARK_BYTES = 256_000_000
 
 _WORD_BYTES = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b in _WORD_BYTES else 0x20 for b in range(256))
 
-SCHEMA = "doc_id long, text string, n_words long, hit binary, items array<string>"
-
 
 def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_FOLD).split()
@@ -79,59 +82,89 @@ class Matcher:
         return len(ws), ranges, names
 
 
-def _matcher(shared: Broadcast, window: int) -> Matcher:
+def _matcher(shared: Broadcast, block: int, window: int) -> Matcher:
     value = shared.value  # one object in a worker, as long as the workspace holds it
-    return workspace(("matcher", id(value), window), lambda: (Matcher(value, window), value))[0]
-
+    return workspace(("matcher", id(value), block, window), lambda: (Matcher(value[block], window), value))[0]
+
+
+def _hit(n: int, ranges: list[tuple[int, int]], before: bytes | None) -> bytes | None:
+    """A bit for each of ``n`` words, set in the ranges and where ``before`` has it."""
+    if not ranges:
+        return before
+    steps = np.zeros(n + 1, np.int32)
+    spans = np.array(ranges)
+    np.add.at(steps, spans[:, 0], 1)
+    np.add.at(steps, spans[:, 1], -1)
+    bits = np.cumsum(steps[:-1]) > 0
+    if before:
+        bits |= np.unpackbits(np.frombuffer(before, np.uint8), count=n).astype(bool)
+    return np.packbits(bits).tobytes()
+
+
+def _scanner(shared: Broadcast, window: int, blocks: int, columns):
+    def found(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = [b["text"].to_pylist() for b in batches]
+        rows = [[[0, None, set()] for _ in t] for t in texts]  # words, hit, items
+        for k in range(blocks):
+            matcher = _matcher(shared, k, window)
+            for some, out in zip(texts, rows, strict=True):
+                for text, row in zip(some, out, strict=True):
+                    row[0], ranges, names = matcher.scan(text)
+                    row[1] = _hit(row[0], ranges, row[1])
+                    row[2] |= names
+        for batch, out in zip(batches, rows, strict=True):
+            yield carried(batch, {"doc_id": batch["doc_id"], **columns(batch, out)})
 
-def _pass(shared: Broadcast, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = _matcher(shared, window)
+        held, size = [], 0
         for batch in batches:
-            had_hits, had_items, counts = batch["hit"].to_pylist(), batch["items"].to_pylist(), []
-            for i, text in enumerate(batch["text"].to_pylist()):
-                n, ranges, names = matcher.scan(text)
-                counts.append(n)
-                if ranges:
-                    bits = np.unpackbits(np.frombuffer(had_hits[i], np.uint8), count=n).astype(np.int32) if had_hits[i] else np.zeros(n, np.int32)
-                    steps = np.zeros(n + 1, np.int32)
-                    spans = np.array(ranges)
-                    np.add.at(steps, spans[:, 0], 1)
-                    np.add.at(steps, spans[:, 1], -1)
-                    had_hits[i] = np.packbits((np.cumsum(steps[:-1]) > 0) | (bits > 0)).tobytes()
-                    had_items[i] = sorted(names | set(had_items[i] or ()))
-            yield carried(batch, {"doc_id": batch["doc_id"], "text": batch["text"], "n_words": pa.array(counts, pa.int64()), "hit": pa.array(had_hits, pa.binary()), "items": pa.array(had_items, pa.list_(pa.string()))})
+            held.append(batch)
+            size += batch.nbytes
+            if blocks == 1 or size >= BUFFER_CHARS:
+                yield from found(held)
+                held, size = [], 0
+        if held:
+            yield from found(held)
 
     return run
 
 
+def _with_hits(batch: pa.RecordBatch, rows: list) -> dict[str, pa.Array]:
+    return {"text": batch["text"], "n_words": pa.array([r[0] for r in rows], pa.int64()), "hit": pa.array([r[1] for r in rows], pa.binary()), "items": pa.array([sorted(r[2]) for r in rows], pa.list_(pa.string()))}
+
+
+def _with_digest(batch: pa.RecordBatch, rows: list) -> dict[str, pa.Array]:
+    hits = [int.from_bytes(h, "big").bit_count() if h else 0 for _, h, _ in rows]
+    digests = [hashlib.sha256(",".join(sorted(names)).encode()).hexdigest() for _, _, names in rows]
+    verdict = [h > 0 and 20 * h >= r[0] for h, r in zip(hits, rows, strict=True)]
+    return {"n_words": pa.array([r[0] for r in rows], pa.int64()), "n_hit": pa.array(hits, pa.int64()), "n_items": pa.array([len(r[2]) for r in rows], pa.int64()), "items_sha256": pa.array(digests, pa.string()), "contaminated": pa.array(verdict, pa.bool_())}
+
+
+def _scanned(docs: DataFrame, items: DataFrame, window: int, id_col: str, text_col: str, item_col: str, item_text_col: str, carry: bool, columns, schema: str) -> DataFrame:
+    items = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text")).distinct()
+    total = items.agg(F.sum(F.octet_length("item") + F.octet_length("text"))).first()[0] or 0
+    if total > BENCHMARK_BYTES:
+        raise ValueError(f"the benchmark has {total} bytes; at most {BENCHMARK_BYTES} are broadcast")
+    blocks, size = [[]], 0
+    for r in items.collect():
+        if size and size + len(r.text) > AUTOMATON_BYTES:
+            blocks.append([])
+            size = 0
+        blocks[-1].append((r.item, r.text))
+        size += len(r.text)
+    given = narrow(docs, id_col, text_col, carry)
+    return given.mapInArrow(_scanner(docs.sparkSession.sparkContext.broadcast(blocks), window, len(blocks), columns), extended(given, schema))
+
+
 def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: bool = False) -> DataFrame:
-    """``SCHEMA``: hit holds a bit for each word (null: none is hit), items the sorted ids of
-    occurring items. ``carry`` adds ``row``, the whole row of ``docs``."""
-    spark = docs.sparkSession
-    items = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-total // AUTOMATON_BYTES) or 1
-    out = narrow(docs, id_col, text_col, carry).withColumns({"n_words": F.lit(0).cast("long"), "hit": F.lit(None).cast("binary"), "items": F.lit(None).cast("array<string>")})
-    for b in range(blocks):
-        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
-        shared = spark.sparkContext.broadcast([(r.item, r.text) for r in block.collect()])
-        out = out.mapInArrow(_pass(shared, window), extended(out, SCHEMA))
-        if b + 1 < blocks:
-            out = staged(out, "decontaminate")
-    return out
-
-
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        hits = [int.from_bytes(h, "big").bit_count() if h else 0 for h in batch["hit"].to_pylist()]
-        names = [x or [] for x in batch["items"].to_pylist()]
-        yield carried(batch, {"doc_id": batch["doc_id"], "n_words": batch["n_words"], "n_hit": pa.array(hits, pa.int64()), "n_items": pa.array([len(x) for x in names], pa.int64()), "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], pa.string())})
-
-
-def summary(scanned: DataFrame) -> DataFrame:
+    """doc_id, text, n_words, hit (a bit for each word; null: none is hit), items (the sorted ids of
+    those that occur). ``carry`` adds ``row``, the whole row of ``docs``."""
+    return _scanned(docs, items, window, id_col, text_col, item_col, item_text_col, carry, _with_hits, "doc_id long, text string, n_words long, hit binary, items array<string>")
+
+
+def summary(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: bool = False) -> DataFrame:
     """One row per document with the counts, the digest of the items, and the verdict (at least one word in 20 hit)."""
-    return scanned.drop("text").mapInArrow(_digest, extended(scanned, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string")).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
+    return _scanned(docs, items, window, id_col, text_col, item_col, item_text_col, carry, _with_digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def hit_spans(text: str, hit: bytes | None) -> list[tuple[int, int]]:

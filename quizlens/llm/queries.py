@@ -11,7 +11,7 @@ from .common import documents
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.summary(decontaminate.scan(documents(spark, sf_dir), items))
+    return decontaminate.summary(documents(spark, sf_dir), items)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def tokenizer(name: str) -> str:
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.summary(pii.find(documents(spark, sf_dir)))
+    return pii.summary(documents(spark, sf_dir))
 
 
 def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,10 +40,11 @@ def test_decontamination_equals_brute_force(spark, monkeypatch, blocks):
     rng, words = random.Random(4), vocabulary()
     items = [(i, prose(rng, words, rng.choice([0, 1, 5, 13, 14, 30])) + ".") for i in range(12)] + [(3, "Extra ITEM, short"), (40, None), (41, "")]
     rows = corpus() + [(900 + i, prose(rng, words, 20) + " — " + (t or "").upper().replace(" ", ", ") + "!! " + prose(rng, words, 30)) for i, t in items]
-    total = sum(len((t or "").encode()) for _, t in items)
-    monkeypatch.setattr(decontaminate, "AUTOMATON_BYTES", -(-total // blocks))
+    total = sum(len(t or "") for _, t in items)
+    monkeypatch.setattr(decontaminate, "AUTOMATON_BYTES", total if blocks == 1 else total // blocks)
+    items += items[:3]  # repeated rows count once
     for make in (frame, clashing):
-        got = decontaminate.summary(decontaminate.scan(make(spark, rows), spark.createDataFrame(items, "item_id long, text string"))).collect()
+        got = decontaminate.summary(make(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
         want = sorted(((d, *brute_decontaminate(t, items)) for d, t in rows), key=repr)
         assert sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got), key=repr) == want
 
@@ -92,7 +93,7 @@ def test_base_spans_equal_the_patterns(spark):
     for r in found:
         for s in r.added:
             assert 0 <= s.start < s.end <= len(r.text) and all(s.end <= b.start or s.start >= b.end for b in r.base)
-    summed = pii.summary(pii.find(frame(spark, rows[:40]))).collect()
+    summed = pii.summary(frame(spark, rows[:40])).collect()
     for r, (_, t) in zip(sorted(summed, key=lambda r: r.doc_id), sorted(rows[:40]), strict=True):
         base = brute_base(t)
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
@@ -100,16 +101,21 @@ def test_base_spans_equal_the_patterns(spark):
         assert set(filter(None, r.spans.split(","))) >= {f"{k}:{a}:{b}" for k, a, b in base}
 
 
-def test_the_field_finds_other_mentions_and_leaves_the_rest():
-    field = pii.train()
+def recall(field, documents):
+    """Share of the hidden spans found, and wrong additions, over (text, base, all spans)."""
     found = hidden = false = 0
-    for text, base, spans in pii.examples(150, seed=123):
+    for text, base, spans in documents:
         added = pii.added_spans(field, [text], [base])[0]
         rest = [s for s in spans if s not in base]
         hidden += len(rest)
         found += sum(any(k == kind and a < y and b > x for kind, x, y in added) for k, a, b in rest)
         false += sum(not any(a < y and b > x for _, x, y in spans) for _, a, b in added)
-    assert found >= 0.95 * hidden and false <= 0.01 * hidden
+    return found / hidden, false / hidden
+
+
+def test_the_field_finds_other_mentions_and_leaves_the_rest(field):
+    found, false = recall(field, pii.examples(150, seed=123))
+    assert found >= 0.8 and false <= 0.04
     text = "Call +1 (743) 555-3824 today; at night 555-3824. Room 555-38."
     base, added = pii.spans_of(field, [text])
     assert [text[a:b] for _, a, b in added[0]] == ["555-3824"]
@@ -117,8 +123,77 @@ def test_the_field_finds_other_mentions_and_leaves_the_rest():
     assert pii.spans_of(field, ["plain words only", "", "order 12345 of 2024"]) == ([[], [], []], [[], [], []])
 
 
-def test_a_hundred_mentions_get_the_label_of_the_observed_one():
-    field = pii.train()
+@pytest.fixture(scope="module")
+def field():
+    return pii.train()
+
+
+#: Written for the tests, not by the generator that the field is trained on: text, and what must be added.
+DISGUISED = [
+    ("Please write to maria.k77 [at] post3 [dot] example [dot] org before noon.", [("email", "maria.k77 [at] post3 [dot] example [dot] org")]),
+    ("Her address was tom.88 at web2 dot example dot net, he said.", [("email", "tom.88 at web2 dot example dot net")]),
+    ("Ring (415) 555-0199 after six.", [("phone", "(415) 555-0199")]),
+    ("His number: four one five five five five zero one nine nine, he said twice.", [("phone", "four one five five five five zero one nine nine")]),
+    ("Reach +1 (415) 555-0199 or, from here, 555-0199 in the evening.", [("phone", "555-0199")]),
+    ("The machine 10.20.30.40 failed. Later 10-20-30-40 came back.", [("ip", "10-20-30-40")]),
+    ("Ping 192 dot 168 dot 44 dot 7 first.", [("ip", "192 dot 168 dot 44 dot 7")]),
+    ("Pay with 4111.1111.1111.1111 or in cash.", [("card", "4111.1111.1111.1111")]),
+    ("Groups 4111 / 1111 / 1111 / 1111 were on the slip.", [("card", "4111 / 1111 / 1111 / 1111")]),
+    ('set password = "h7Gk29sLq0Zx81Bv" and restart', [("secret", 'h7Gk29sLq0Zx81Bv')]),
+    ("api_key: 9f8e7d6c5b4a39281706f5e4d3c2b1a0 was leaked", [("secret", "9f8e7d6c5b4a39281706f5e4d3c2b1a0")]),
+]
+CLEAN = [
+    "On 2024-03-17 at 10:45 the 250 members met in room 12.",
+    "Version 2.14.3 replaced 2.13.9; see section 4.1.2.",
+    "The commit da39a3ee5e6b4b0d3255bfef95601890afd80709 is old.",
+    "Seven of nine people came at two, and four left at five.",
+    "Totals: 12 | 450 | 33 | 8 and 17 | 220 | 41 | 9.",
+    "They met at the dot on the map, mail in hand, and called two friends.",
+    "ISBN 9783161484100 costs 25.99, order 4512 1199.",
+]
+
+
+def test_disguised_mentions_that_no_template_wrote_are_found(field):
+    found = 0
+    for text, wanted in DISGUISED:
+        _, (added,) = pii.spans_of(field, [text])
+        got = [(k, text[a:b]) for k, a, b in added]
+        found += all(any(k == x and (t in y or y in t) for x, y in got) for k, t in wanted)
+        assert all(any(k == x for x, _ in wanted) for k, _ in got), (text, got)
+    assert found >= len(DISGUISED) - 1
+    assert pii.spans_of(field, CLEAN)[1] == [[]] * len(CLEAN)
+
+
+def test_far_plain_words_do_not_change_the_field(field):
+    """Nodes beside the telling words alone give the marginals of all words."""
+    import numpy as np
+
+    text = "so she said " * 30 + "call (743) 555-3824 " + "and then it went " * 40 + "555-3824 " + "on and on " * 30
+    near, whole = pii.Graph(field.reach), pii.Graph()
+    for graph in (near, whole):
+        graph.add(0, text, [])
+    assert len(near.spans) < 60 < len(whole.spans)
+    of = lambda g: {s: p for s, p in zip(g.spans, field.marginals(g), strict=True)}
+    a, b = of(near), of(whole)
+    assert all(np.abs(a[s] - b[s]).max() < 5e-3 for s in a)
+    assert all(b[s].argmax() == 0 for s in b if s not in a)
+
+
+def test_long_unbroken_runs_take_time_in_proportion(field):
+    import time
+
+    for piece in ("A", "7", "a.b@", "x@y ", "1.2.", "a-", "+"):
+        took = []
+        for n in (100_000, 800_000):
+            text = piece * (n // len(piece))
+            begin = time.process_time()
+            pii.base_spans(text)
+            took.append(time.process_time() - begin)
+        assert took[1] < 1 or took[1] < 16 * took[0] + 0.1, (piece, took)
+    assert brute_base("a.b@" * 300 + "c.d " + "1.2." * 100 + "@x.y") == pii.base_spans("a.b@" * 300 + "c.d " + "1.2." * 100 + "@x.y")
+
+
+def test_a_hundred_mentions_get_the_label_of_the_observed_one(field):
     for where in (0, 50, 100):
         parts = [f"they wrote 555-3824 again {'so ' * (i % 3)}and left" for i in range(100)]
         parts.insert(where, "call +1 (743) 555-3824 first")
@@ -129,16 +204,16 @@ def test_a_hundred_mentions_get_the_label_of_the_observed_one():
         assert [(k, a, b) for k, a, b in added] == [("phone", a + 6, b) for a, b in wanted]
 
 
-def test_message_passing_follows_exact_marginals_on_a_tree():
+def test_message_passing_follows_exact_marginals_on_a_tree(field):
     import itertools
 
     import numpy as np
 
-    field, graph = pii.train(), pii.Graph()
+    graph = pii.Graph()
     graph.add(0, "x (743) 555-3824 and 4111 item-9", [])
     graph.skip.clear()
     n, k = len(graph.spans), len(pii.LABELS)
-    own = np.array(graph.features, float) @ field.unary
+    own = graph.matrix() @ field.unary
     total = np.zeros((n, k))
     for labels in itertools.product(range(k), repeat=n):
         w = np.exp(sum(own[i, x] for i, x in enumerate(labels)) + sum(field.chain[labels[a], labels[b]] for a, b in graph.chain))
