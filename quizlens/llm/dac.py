@@ -3,7 +3,11 @@
 An id's bits are cut into chunks, low bits first. Level 0 holds the first chunk of every id, level 1 the second chunk
 of those that have one, and so on. A bitmap on each level marks the codes that continue, and a rank directory (ones
 before each 512 bits) leads to the place of the continuation, so any token is read with a few bit operations and no
-block is decoded. The chunk widths of a file are those of least size for its ids, found by dynamic programming.
+block is decoded. A file's chunk widths are found by dynamic programming: least bits, where an id that has to look up another
+level is charged LEVEL_BITS for the time that takes (so files are some per cent above the least size).
+
+Files are read back by the same access, over the positions of a stretch of documents at once: each level's codes are
+addressed through the bitmap and directory of the level before, for the positions asked for alone.
 
 File: magic, counts (documents, tokens, levels), document ids, document starts, then per level its number of
 codes, its width, packed codes, bitmap, directory. Numbers are little-endian; bits are packed high first.
@@ -32,7 +36,9 @@ MAGIC = b"QDAC1\0\0\0"
 RANK_BITS = 512
 #: What another level may cost in bits an id that has to look it up, for the time that takes.
 LEVEL_BITS = 1.0
-#: Tokens after which a file ends, at a document's end.
+#: Tokens that are read at once (a longer document goes alone).
+RANGE_TOKENS = 1 << 18
+#: Tokens after which a file ends, at the end of a kernel's documents.
 FILE_TOKENS = 2_000_000
 _NULL = -(1 << 63)
 
@@ -79,10 +85,11 @@ def widths(ids: np.ndarray) -> list[int]:
     return best[0][1]
 
 
-def encode(doc_ids: list[int | None], docs: list[np.ndarray]) -> bytes:
-    ids = np.concatenate(docs).astype(np.uint32) if docs else np.zeros(0, np.uint32)
+def encode(doc_ids: list[int | None], ids: np.ndarray, counts: np.ndarray) -> bytes:
+    """A file of documents: their ids one after another, and how many each has."""
+    ids = ids.astype(np.uint32)
     ws = widths(ids)
-    out = [MAGIC, struct.pack("<QQQ", len(docs), len(ids), len(ws)), np.array([_NULL if d is None else d for d in doc_ids], "<i8").tobytes(), np.concatenate(([0], np.cumsum([len(d) for d in docs]))).astype("<u8").tobytes()]
+    out = [MAGIC, struct.pack("<QQQ", len(doc_ids), len(ids), len(ws)), np.array([_NULL if d is None else d for d in doc_ids], "<i8").tobytes(), np.concatenate(([0], np.cumsum(counts))).astype("<u8").tobytes()]
     rest = ids
     for k, w in enumerate(ws):
         more = (rest >> w) > 0
@@ -133,48 +140,72 @@ class DacFile:
             i = int(directory[block]) + before.bit_count()
         return value
 
-    def all_tokens(self) -> np.ndarray:
-        """Every id in order: the levels are joined from the last to the first."""
-        below = np.zeros(0, np.uint32)
-        for n, w, codes, marks, _ in reversed(self.levels):
-            here = _unpack(codes, w, n)
-            if len(marks):
-                more = np.unpackbits(marks, count=n).astype(bool)
-                here[more] |= below << np.uint32(w)
-            below = here
-        return below
-
-    def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
-        """(document id, its first token's place in the file, its ids)."""
-        ids = self.all_tokens()
-        for k, d in enumerate(self.doc_ids):
-            yield d, int(self.starts[k]), ids[self.starts[k] : self.starts[k + 1]]
+    def tokens(self, lo: int, hi: int) -> np.ndarray:
+        """The ids at positions lo to hi - 1, by each one's own place on every level."""
+        if not 0 <= lo <= hi <= self.n_tokens:
+            raise IndexError((lo, hi))
+        out = np.zeros(hi - lo, np.uint32)
+        whose, places, shift = slice(None), np.arange(lo, hi), 0
+        for n, w, codes, marks, directory in self.levels:
+            if not len(places):
+                break
+            first, last = int(places.min()), int(places.max()) + 1
+            if first < 0 or last > n:
+                raise ValueError("damaged directory")
+            a, b = first // RANK_BITS, -(-last // RANK_BITS)  # blocks of codes that hold the places
+            begin = a * RANK_BITS
+            end = min(b * RANK_BITS, n)
+            value = _unpack(codes[begin * w // 8 : (end * w + 7) // 8], w, end - begin)[places - begin]
+            out[whose] |= value << np.uint32(shift)
+            shift += w
+            if not len(marks):
+                break
+            bits = np.unpackbits(marks[begin // 8 : (end + 7) // 8], count=end - begin)
+            within = np.cumsum(bits, dtype=np.int32)  # ones up to and with each place of these blocks
+            starts = np.concatenate(([0], within))[np.arange(0, end - begin, RANK_BITS)]
+            go = bits[places - begin].astype(bool)
+            whose = np.flatnonzero(go) if isinstance(whose, slice) else whose[go]
+            places = places[go] - begin
+            places = directory[a:b].astype(np.int64)[places // RANK_BITS] + within[places] - 1 - starts[places // RANK_BITS]
+        return out
+
+    def documents(self, most: int = RANGE_TOKENS) -> Iterator[tuple[int | None, int, np.ndarray]]:
+        """(document id, its first token's place in the file, its ids), read by stretches of about ``most`` tokens."""
+        k = 0
+        while k < len(self.doc_ids):
+            end = max(k + 1, int(np.searchsorted(self.starts, self.starts[k] + most, side="right")) - 1)
+            lo = int(self.starts[k])
+            ids = self.tokens(lo, int(self.starts[end]))
+            for j in range(k, end):
+                yield self.doc_ids[j], int(self.starts[j]), ids[self.starts[j] - lo : self.starts[j + 1] - lo]
+            k = end
 
 
 def _writer(folder: str, path: str, pieces: str, end_id: int, file_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, pid, seg = encoder(path, pieces), TaskContext.get().partitionId(), 0
-        ids, docs, held = [], [], 0
+        names, parts, counts, held = [], [], [], 0
 
         def close():
-            nonlocal seg, ids, docs, held
+            nonlocal seg, names, parts, counts, held
             uri = f"{folder}/part-{pid:06d}-{seg:06d}.dac"
-            body = encode(ids, docs)
+            body = encode(names, np.concatenate(parts), np.concatenate(counts))
             size = write_whole(uri, lambda s: s.write(body))
-            row = pa.RecordBatch.from_pydict({"pid": [pid], "seg": [seg], "uri": [uri], "n_docs": [len(docs)], "n_tokens": [held], "n_bytes": [size]}, schema=_MANIFEST)
-            seg, ids, docs, held = seg + 1, [], [], 0
+            row = pa.RecordBatch.from_pydict({"pid": [pid], "seg": [seg], "uri": [uri], "n_docs": [len(names)], "n_tokens": [held], "n_bytes": [size]}, schema=_MANIFEST)
+            seg, names, parts, counts, held = seg + 1, [], [], [], 0
             return row
 
         for batch in batches:
-            texts, names = batch["text"].to_pylist(), batch["doc_id"].to_pylist()
+            texts, ids = batch["text"].to_pylist(), batch["doc_id"].to_pylist()
             for lo, hi in kernel_slices(texts):
-                for name, found in zip(names[lo:hi], enc.encode(texts[lo:hi]), strict=True):
-                    ids.append(name)
-                    docs.append(np.append(found, end_id).astype(np.uint32))
-                    held += len(docs[-1])
-                    if held >= file_tokens:
-                        yield close()
-        if docs:
+                flat, many = enc.encode_flat(texts[lo:hi], end_id)
+                names += ids[lo:hi]
+                parts.append(flat)
+                counts.append(many)
+                held += len(flat)
+                if held >= file_tokens:
+                    yield close()
+        if names:
             yield close()
 
     return run
@@ -186,7 +217,8 @@ _MANIFEST = pa.schema([("pid", pa.int32()), ("seg", pa.int32()), ("uri", pa.stri
 def write(docs: DataFrame, tokenizer: str, pieces: str = "spaces", end_id: int = 2, folder: str | None = None, file_tokens: int = FILE_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the files and return their manifest: pid, seg, uri, n_docs, n_tokens, n_bytes, first (tokens in all files before it)."""
     folder = folder or scratch(docs.sparkSession, "tokens")
-    ordered = narrow(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # rows of one id may fall in several ranges
+    ordered = narrow(docs, id_col, text_col).withColumn("at", F.monotonically_increasing_id()).repartitionByRange("doc_id", "at").sortWithinPartitions("doc_id").drop("at")
     manifest = staged(ordered.mapInArrow(_writer(folder, tokenizer, pieces, end_id, file_tokens), "pid int, seg int, uri string, n_docs long, n_tokens long, n_bytes long"), "manifest")
     per_part = manifest.groupBy("pid").agg(F.sum("n_tokens").alias("t"))  # a row for each partition of the write
     before = per_part.select("pid", (F.sum("t").over(Window.orderBy("pid")) - F.col("t")).alias("earlier"))

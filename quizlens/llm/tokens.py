@@ -4,7 +4,8 @@
 line feeds; ``word_bpe_49k.json`` drops white space. Both split runs of letters from
 marks. Such pieces have ids of their own, whatever stands beside them, so a worker encodes each distinct piece once
 and gathers the rest from a table. Texts with other white space or with control characters that libraries class
-differently are encoded whole; both ways give the library's ids.
+differently are encoded whole, and so are texts that hold a special token's string, which the library turns into that
+token; both ways give the library's ids.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import numpy as np
 
 from .common import workspace
 
-#: Pieces remembered by a worker before it starts anew; bounds its memory, not the texts.
+#: Pieces remembered by a worker before it forgets those that it met only once; bounds its memory, not the texts.
 REMEMBERED = 600_000
 
 _ODD = re.compile(r"[^\S \n]")  # white space other than space and line feed; Python's set includes \x1c-\x1f and \x85
@@ -53,7 +54,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # the special tokens' strings in a text are ordinary text
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.lower = pieces == "words"
         self.split = (_WORDS if self.lower else _SPACES).findall
@@ -65,6 +66,28 @@ class Encoder:
         self.flat = np.zeros(1 << 16, np.int32)
         self.start = np.zeros(1 << 14, np.int64)
         self.length = np.zeros(1 << 14, np.int64)
+        self.uses = np.zeros(1 << 14, np.int64)
+
+    def _thin(self) -> None:
+        """Keep the pieces that were met more than once since the last time, if they are not the most."""
+        again = self.uses[: len(self.slot)] > 1
+        if 2 * again.sum() > REMEMBERED:
+            return self._forget()
+        keys = [k for k, more in zip(self.slot, again.tolist(), strict=True) if more]
+        start, length = self.start[: len(again)][again], self.length[: len(again)][again]
+        where = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+        ids = self.flat[where]
+        self._forget()
+        self._room(len(keys), len(ids))
+        self.slot.update(zip(keys, range(len(keys)), strict=True))
+        self.flat[: len(ids)], self.used = ids, len(ids)
+        self.length[: len(keys)], self.start[: len(keys)] = length, np.cumsum(length) - length
+
+    def _room(self, pieces: int, ids: int) -> None:
+        while ids > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while pieces > len(self.start):
+            self.start, self.length, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.uses))
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -87,41 +110,44 @@ class Encoder:
             found[i] = ids
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         n, total = len(self.slot) - len(fresh), int(sizes.sum())
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + len(fresh) > len(self.start):
-            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-            self.length = np.concatenate([self.length, np.zeros_like(self.length)])
+        self._room(n + len(fresh), self.used + total)
         self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.int32, total)
         self.length[n : n + len(fresh)] = sizes
         self.start[n : n + len(fresh)] = self.used + np.cumsum(sizes) - sizes
         self.used += total
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, without special tokens."""
+    def encode_flat(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, each with ``end_id`` behind it, and how many each text has."""
         if len(self.slot) > REMEMBERED:
-            self._forget()
-        plain = [i for i, t in enumerate(texts) if not _ODD.search(t)]
-        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(texts)
-        taken = set(plain)
-        whole = [i for i in range(len(texts)) if i not in taken]
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
-            out[i] = np.array(ids, np.int32)
-        pieces = [self.split(texts[i]) for i in plain]
-        counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
+            self._thin()
+        is_whole = [_ODD.search(t) is not None or any(s in t for s in self.special) for t in texts]
+        plain = [t for t, w in zip(texts, is_whole, strict=True) if not w]
+        pieces = [self.split(t) for t in plain]
         flat = list(chain.from_iterable(pieces))
         slots = np.fromiter(map(self.slot.__getitem__, flat), np.int64, len(flat))
         if self.slot.fresh:
             fresh, self.slot.fresh = self.slot.fresh, []
             self._learn(fresh)
+        self.uses[: len(self.slot)] += np.bincount(slots, minlength=len(self.slot))
         sizes = self.length[slots]
         ends = np.cumsum(sizes)
-        where = np.repeat(self.start[slots] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
-        ids = self.flat[where]
-        at = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
-        for k, i in enumerate(plain):
-            out[i] = ids[at[k] : at[k + 1]]
-        return out
+        many = np.diff(np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum([len(p) for p in pieces], dtype=np.int64)))])
+        others = [np.array(ids, np.int32) for ids in self._ids([t for t, w in zip(texts, is_whole, strict=True) if w])]
+        w = np.array(is_whole, bool)
+        counts = np.empty(len(texts), np.int64)
+        counts[~w], counts[w] = many, [len(x) for x in others]
+        stops = np.cumsum(counts + 1)
+        out = np.full(int(stops[-1]) if len(stops) else 0, end_id, np.int32)
+        begins = stops - counts - 1
+        out[np.repeat(begins[~w] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))] = self.flat[np.repeat(self.start[slots] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
+        for at, ids in zip(begins[w].tolist(), others, strict=True):
+            out[at : at + len(ids)] = ids
+        return out, counts + 1
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, without an end."""
+        ids, counts = self.encode_flat(texts, 0)
+        return [x[:-1] for x in np.split(ids, np.cumsum(counts)[:-1])] if len(texts) else []
 
 
 def encoder(path: str, pieces: str) -> Encoder:
