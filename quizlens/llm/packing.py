@@ -3,11 +3,12 @@
 Documents longer than a sequence are cut into full pieces; what is left is packed. The plan is made on the histogram
 of lengths alone, which has no more rows than a sequence has tokens:
 
-1. Large lengths (over an eighth of a sequence) are sorted and cut into groups of equal cardinality; within a group
-   all count as its largest.
-2. Over these few sizes, configurations are chosen one after another: the fullest one that takes the largest size
-   left, found by subset-sum reachability, used as often as the counts allow.
-3. The groups' real lengths, longest first, take the places of the rounded ones.
+1. Large lengths (over an eighth of a sequence) are sorted and cut into at most GROUPS groups of equal cardinality; within a
+   group all count as its largest.
+2. Over these few sizes, configurations (which sizes share a sequence) are optimised: the linear programme of fewest
+   sequences is solved by column generation, where a new configuration is the best filling under the sizes' prices.
+3. Real lengths take the places: each place the longest that its rounded size allows, the last one the longest that fits the
+   room left; where more fits, it is added. So what rounding had left over gathers in the last sequences.
 4. Small lengths, longest first, go best-fit into the room left, then into new sequences.
 
 Each decision is for a run of sequences with equal contents, so the plan stays small, and every piece finds its
@@ -34,7 +35,7 @@ from .common import kernel_slices, narrow, staged
 from .tokens import encoder
 
 CAPACITY = 2048
-GROUPS = 2048
+GROUPS = 24
 #: Lengths up to this part of a sequence are small.
 SMALL_PART = 8
 
@@ -47,69 +48,84 @@ def _cutter(path: str, pieces: str, end_id: int, capacity: int):
         for batch in batches:
             texts, names = batch["text"].to_pylist(), batch["doc_id"].to_pylist()
             for lo, hi in kernel_slices(texts):
-                rows = []
-                for name, found in zip(names[lo:hi], enc.encode(texts[lo:hi]), strict=True):
-                    ids = np.append(found, end_id).astype("<u4")
-                    for k, start in enumerate(range(0, len(ids), capacity)):
-                        part = ids[start : start + capacity]
-                        rows.append((name, k, start, len(part), zlib.crc32(part.tobytes()), pid, seen[len(part)]))
+                flat, counts = enc.encode_flat(texts[lo:hi], end_id)
+                flat, at, rows = flat.astype("<u4"), 0, []
+                for name, n in zip(names[lo:hi], counts.tolist(), strict=True):
+                    for k, start in enumerate(range(0, n, capacity)):
+                        part = flat[at + start : at + min(n, start + capacity)]
+                        rows.append((name, k, start, len(part), zlib.crc32(part), pid, seen[len(part)]))
                         seen[len(part)] += 1
+                    at += n
                 doc, k, start, n, crc, p, nth = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "piece": pa.array(k, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(n, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()), "pid": pa.array(p, pa.int32()), "nth": pa.array(nth, pa.int64())})
 
     return run
 
 
-def _groups(large: list[tuple[int, int]], groups: int) -> tuple[list[int], list[list[list[int]]]]:
-    """(length, count) descending to rounded sizes and, per size, its real [length, count, first rank] in that order."""
+def _groups(large: list[tuple[int, int]], groups: int) -> tuple[list[int], list[int]]:
+    """(length, count) descending to rounded sizes, at most ``groups``, and how many pieces count as each."""
     total = sum(c for _, c in large)
     each = -(-total // groups) or 1
-    sizes, members, room = [], [], 0
+    sizes, counts, room = [], [], 0
     for length, count in large:
-        rank = 0
         while count:
             if not room:
                 room = each
                 if not sizes or sizes[-1] != length:  # else this group rounds to the last one's size
                     sizes.append(length)
-                    members.append([])
+                    counts.append(0)
             take = min(room, count)
-            members[-1].append([length, take, rank])
-            rank, count, room = rank + take, count - take, room - take
-    return sizes, members
-
-
-def _configurations(sizes: list[int], counts: list[int], capacity: int) -> list[tuple[list[int], int]]:
-    """Configurations (one index for each place) with how often each is used, until no size is left."""
-    out, left = [], list(counts)
-    mask = (1 << (capacity + 1)) - 1
-    while True:
-        alive = [i for i in range(len(sizes)) if left[i]]
-        if not alive:
-            return out
-        room = capacity - sizes[alive[0]]
-        left[alive[0]] -= 1
-        reach, steps = 1, []  # bit x of reach: x tokens can be filled
-        for i in alive:
-            for _ in range(min(left[i], room // sizes[i])):
-                new = (reach | reach << sizes[i]) & (mask >> (capacity - room))
-                if new == reach:
-                    break
-                steps.append((i, reach))
-                reach = new
-            if reach >> room & 1:
-                break
-        left[alive[0]] += 1
-        at, chosen = reach.bit_length() - 1, [alive[0]]
-        for i, before in reversed(steps):
-            if not before >> at & 1:
-                chosen.append(i)
-                at -= sizes[i]
-        use = Counter(chosen)
-        times = min(left[i] // m for i, m in use.items())
-        for i, m in use.items():
-            left[i] -= m * times
-        out.append((chosen, times))
+            counts[-1] += take
+            count, room = count - take, room - take
+    return sizes, counts
+
+
+def _best_filling(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The dearest multiset of sizes within the capacity, and its price: dynamic programming by number of pieces."""
+    layers, picks = [np.zeros(capacity + 1)], []
+    for _ in range(capacity // int(sizes.min())):
+        last = layers[-1]
+        new, pick = last.copy(), np.full(capacity + 1, -1)
+        for i, s in enumerate(sizes.tolist()):
+            value = last[: capacity + 1 - s] + prices[i]
+            better = value > new[s:] + 1e-12
+            new[s:][better], pick[s:][better] = value[better], i
+        if not (pick >= 0).any():
+            break
+        layers.append(new)
+        picks.append(pick)
+    use, room = np.zeros(len(sizes)), capacity
+    for pick in reversed(picks):
+        if pick[room] >= 0:
+            use[pick[room]] += 1
+            room -= int(sizes[pick[room]])
+    return float(layers[-1][capacity]), use
+
+
+def configurations(sizes: list[int], counts: list[int], capacity: int) -> list[tuple[list[int], int]]:
+    """Configurations (sizes, descending) of an optimal solution of the linear programme, with the whole part of how often
+    each is used; what is missing for whole numbers is at most a configuration a size."""
+    m = len(sizes)
+    if not m:
+        return []
+    size, need = np.array(sizes), np.array(counts, float)
+    columns = np.diag(capacity // size).astype(float)
+    inverse = np.diag(1 / np.diag(columns))
+    for _ in range(40 * m):
+        x = inverse @ need
+        value, new = _best_filling(size, inverse.sum(axis=0), capacity)
+        if value <= 1 + 1e-9:
+            break
+        step = inverse @ new
+        ratio = np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)
+        out = int(ratio.argmin())
+        columns[:, out] = new
+        row = inverse[out] / step[out]
+        inverse -= np.outer(step, row)
+        inverse[out] = row
+    uses = np.floor(inverse @ need + 1e-6)
+    found = [([s for s, k in zip(sizes, columns[:, j].astype(int).tolist(), strict=True) for _ in range(k)], int(n)) for j, n in enumerate(uses) if n > 0]
+    return sorted(found, reverse=True)
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -118,34 +134,39 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
     The piece of rank r goes to sequence first + (r - first rank) // pieces, at offset + (r - first rank) % pieces * length.
     """
     small_to = capacity // SMALL_PART
-    sizes, members = _groups(sorted(((n, c) for n, c in histogram.items() if n > small_to and c), reverse=True), groups)
+    large = sorted(((n, c) for n, c in histogram.items() if n > small_to and c), reverse=True)
     runs: list[tuple[int, int, int, int, int]] = []
     room: dict[int, list[tuple[int, int, int]]] = defaultdict(list)  # tokens left: runs of (first sequence, sequences, used)
     next_seq = 0
-    heads = [0] * len(sizes)
-    for chosen, times in _configurations(sizes, [sum(m[1] for m in g) for g in members], capacity):
-        places = []  # for each place, stretches of one real length: [length, count, first rank]
-        for i in sorted(chosen):
-            need, place = times, []
-            while need:
-                length, count, rank = m = members[i][heads[i]]
-                take = min(count, need)
-                place.append([length, take, rank])
-                m[1], m[2], need = count - take, rank + take, need - take
-                heads[i] += not m[1]
-            places.append(place)
-        at, cursor = 0, [0] * len(places)
-        while at < times:
-            n = min(p[c][1] for p, c in zip(places, cursor, strict=True))
+    left, rank = dict(large), dict.fromkeys((n for n, _ in large), 0)
+    alive = sorted(left)  # lengths of which some are left
+
+    def longest(most: int, chosen: Counter) -> int:
+        k = bisect.bisect_right(alive, most) - 1
+        while k >= 0 and left[alive[k]] <= chosen[alive[k]]:
+            k -= 1
+        return alive[k] if k >= 0 else 0
+
+    todo = configurations(*_groups(large, groups), capacity)[::-1]
+    while alive:
+        places, times = todo.pop() if todo else ([alive[-1]], left[alive[-1]])
+        while times and alive:
+            chosen, free = Counter(), capacity
+            for place in [*places[:-1], capacity, *[capacity] * SMALL_PART]:
+                if length := longest(min(place, free), chosen):
+                    chosen[length] += 1
+                    free -= length
+            n = min(times, *(left[length] // k for length, k in chosen.items()))
             used = 0
-            for k, p in enumerate(places):
-                stretch = p[cursor[k]]
-                runs.append((stretch[0], stretch[2], 1, next_seq, used))
-                used += stretch[0]
-                stretch[1], stretch[2] = stretch[1] - n, stretch[2] + n
-                cursor[k] += not stretch[1]
-            room[capacity - used].append((next_seq, n, used))
-            next_seq, at = next_seq + n, at + n
+            for length, k in chosen.items():
+                runs.append((length, rank[length], k, next_seq, used))
+                used += k * length
+                rank[length] += k * n
+                left[length] -= k * n
+                if not left[length]:
+                    alive.pop(bisect.bisect_left(alive, length))
+            room[free].append((next_seq, n, used))
+            next_seq, times = next_seq + n, times - n
     open_rooms = sorted(r for r in room if r)
     for length in range(small_to, 0, -1):
         left, rank = histogram.get(length, 0), 0
