@@ -195,7 +195,8 @@ def brute_removal(rows, window=50):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"hot": 1}, {"shard_words": 300}, {"hot": 2, "shard_words": 500}])
+# anchors of one word are those of many texts that share nothing else, as if their hashes collided
+@pytest.mark.parametrize("options", [{}, {"hot": 1}, {"shard_words": 300}, {"hot": 2, "shard_words": 500}, {"anchor": 1}, {"anchor": 1, "hot": 3}])
 def test_removal_equals_brute_force(spark, options):
     rng, words = random.Random(13), vocabulary()
     rows = corpus()
@@ -211,23 +212,37 @@ def test_removal_of_no_documents(spark):
     assert substring.deduplicate(frame(spark, [])).count() == 0
 
 
-def test_index_counts_like_a_scan():
-    rng = random.Random(4)
-    texts = [[rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randint(8, 40))] for _ in range(30)]
-    owners = np.array([rng.randrange(100) for _ in texts], np.int64)
-    index = substring.FMIndex(texts, owners, 8)
-    ends = np.array([s + 8 + k for s, t in zip(index.starts, texts, strict=True) for k in range(len(t) - 7)])
-    own = np.repeat(np.searchsorted(index.owners, owners).astype(np.int32), [len(t) - 7 for t in texts])
-    found = index.owners[index.search(ends, 8, own)]
-    want = [min(o for o, u in zip(owners, texts, strict=True) if any(u[j : j + 8] == t[k : k + 8] for j in range(len(u) - 7))) for t in texts for k in range(len(t) - 7)]
-    assert found.tolist() == want
-
-
-def test_wavelet_tree_ranks():
+@pytest.mark.parametrize("least", [3, 5, 8])
+def test_matches_are_those_of_smaller_owners(least):
+    rng = random.Random(least)
+    for _ in range(12):
+        texts = [[rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randint(1, 40))] for _ in range(30)]
+        owners = np.array([rng.randrange(12) for _ in texts])
+        index = substring.FMIndex(texts, owners)
+        found = index.matches(np.array([*map(len, texts)]), np.searchsorted(index.owners, owners), least)
+        covered = [set() for _ in texts]
+        for k, a, b in zip(*(x.tolist() for x in found), strict=True):
+            assert b - a >= least and any(o < owners[k] and any(u[j : j + b - a] == texts[k][a:b] for j in range(len(u))) for o, u in zip(owners, texts, strict=True))
+            covered[k] |= set(range(a, b))
+        for k, t in enumerate(texts):
+            earlier = {tuple(u[j : j + least]) for o, u in zip(owners, texts, strict=True) if o < owners[k] for j in range(len(u) - least + 1)}
+            assert covered[k] == {x for s in range(len(t) - least + 1) if tuple(t[s : s + least]) in earlier for x in range(s, s + least)}
+
+
+def test_the_index_is_smaller_than_its_texts():
+    rng, words = random.Random(6), vocabulary(20_000)
+    texts = [prose(rng, words, 75).encode().split() for _ in range(1_300)]
+    index = substring.FMIndex(texts, np.arange(len(texts)))
+    size = sum(len(b" ".join(t)) for t in texts)
+    assert index.nbytes() < size
+    assert 10 * sum(x.nbytes for *_, within, block in index.matrix.levels for x in (within, block)) < size
+
+
+def test_wavelet_matrix_ranks():
     rng = np.random.default_rng(5)
-    symbols = rng.integers(0, 300, 1000)
-    tree = substring.WaveletTree(symbols, 300)
-    zero = tree.place(np.arange(301), np.zeros(301, np.int64))
-    for at in (0, 1, 15, 16, 17, 500, 1000):
-        ranks = tree.place(np.arange(301), np.full(301, at)) - zero
+    symbols = rng.integers(0, 300, 70_000)
+    matrix = substring.WaveletMatrix(symbols, 300)
+    zero = matrix.place(np.arange(301), np.zeros(301, np.int64))
+    for at in (0, 1, 63, 64, 65, 500, 65_535, 65_536, 65_537, 70_000):
+        ranks = matrix.place(np.arange(301), np.full(301, at)) - zero
         assert ranks.tolist() == np.bincount(symbols[:at], minlength=301).tolist()
