@@ -136,9 +136,9 @@ ODD = ["", " ", "\n", "a\n\n b  c\n\n\nd \n e", "x\ty  z", "don't stop's I'LL 12
 def test_encoders_give_the_librarys_ids(texts):
     texts = texts + [" ".join(texts), "\n".join(texts)]
     for name, pieces in (("byte_bpe_50k.json", "spaces"), ("word_bpe_49k.json", "words")):
-        key = name
-        enc = ENCODERS.setdefault(key, Encoder(str(public_tokenizers.path(name)), pieces))
-        ref = TOKENIZERS.setdefault(key, Tokenizer.from_file(str(public_tokenizers.path(name))))
+        if name not in ENCODERS:
+            ENCODERS[name], TOKENIZERS[name] = Encoder(str(public_tokenizers.path(name)), pieces), Tokenizer.from_file(str(public_tokenizers.path(name)))
+        enc, ref = ENCODERS[name], TOKENIZERS[name]
         assert [x.tolist() for x in enc.encode(texts)] == [e.ids for e in ref.encode_batch(texts, add_special_tokens=False)]
 
 
