@@ -40,6 +40,15 @@ TEMPLATES = {
         "Code: {text}\n\nRestyled code:"
     ),
 }
-VERDICTS_SEPARABLE = {"strong": "Strong authenticity artifact detected", "moderate": "Moderate authenticity artifact detected", "none": "No meaningful authenticity artifact detected overall"}
-VERDICTS_EXPLOITED = {"confirmed": "Causal exploitation confirmed", "weak": "Weak/partial exploitation signal", "none": "No causal exploitation detected"}
+VERDICTS_SEPARABLE = {
+    "strong": "**Strong authenticity artifact detected** (AUROC={auroc:.3f}).",
+    "moderate": "**Moderate authenticity artifact detected** (AUROC={auroc:.3f}).",
+    "none": "**No meaningful authenticity artifact detected overall** (AUROC={auroc:.3f}, near chance).",
+}
+VERDICTS_EXPLOITED = {
+    "confirmed": "**Causal exploitation confirmed** overall: treatment gap ({t:.3f}) exceeds control ({c:.3f}), diff={diff:.3f}.",
+    "weak": "**Weak/partial exploitation signal** overall: treatment ({t:.3f}) vs control ({c:.3f}), diff={diff:.3f}.",
+    "none": "**No causal exploitation detected** overall: treatment ({t:.3f}) is not above control ({c:.3f}).",
+}
+MIN_SAVE_STEPS = 50
 # End of fixed values.

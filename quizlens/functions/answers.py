@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .text import strip
@@ -34,3 +34,8 @@ def strict_letter(completion: Column) -> Column:
 
 def reward(completion: Column, correct: Column) -> Column:
     return F.when(first_letter(completion).eqNullSafe(correct) & correct.isNotNull(), 1.0).otherwise(0.0)
+
+
+def register(spark: SparkSession, name: str = "reward") -> None:
+    """The reward as a function of SQL, (completion, correct letter) to 0.0 or 1.0."""
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(completion STRING, correct STRING) RETURNS DOUBLE RETURN CASE WHEN correct IS NOT NULL AND upper(regexp_substr(completion, '[A-Ha-h]')) <=> correct THEN 1.0D ELSE 0.0D END")

@@ -28,6 +28,15 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, r"\."), strip), lambda x: x != "")
 
 
+#: A word with its inner apostrophes, points and hyphens, or a mark by itself.
+LINGUISTIC = r"[\p{L}\p{N}]+(?:['’.-][\p{L}\p{N}]+)*|[^\s\p{L}\p{N}]"
+
+
+def linguistic_tokens(c: Column) -> Column:
+    """Words apart from marks, for taggers; features of words take white-space tokens instead."""
+    return F.regexp_extract_all(c, F.lit(LINGUISTIC), 0)
+
+
 def preview(c: Column, n: int = 80) -> Column:
     return F.when(F.length(c) > n, F.concat(F.left(c, F.lit(n)), F.lit("..."))).otherwise(c)
 

@@ -28,17 +28,21 @@ def auroc(scored: DataFrame, *group: str, score: str = "score", label: str = "la
     return total.select(*keys, area.alias("auroc"), (F.col("p") + F.col("q")).alias("n_samples"))
 
 
-def model_scores(table: DataFrame, features: tuple[str, ...], label: str = "label", model: str = "gbt", *keep: str) -> DataFrame:
-    """The kept columns, label and score of a classifier fitted on ``table``; NaN features count as 0."""
+#: Of so many parts of the rows, by a hash of their key, one is scored and the others are learned from.
+HELD_OUT = 5
+
+
+def model_scores(table: DataFrame, features: tuple[str, ...], key: str, label: str = "label", model: str = "gbt", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The kept columns, label and score of the held-out rows by a classifier fitted on the others; NaN features count as 0."""
     from pyspark.ml.classification import GBTClassifier, LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    known = table.where(F.col(label).isNotNull()).select(*keep, F.col(label).cast("double").alias("label"), *[F.nanvl(F.coalesce(F.col(f), F.lit(0.0)), F.lit(0.0)).alias(f) for f in features])
-    ready = VectorAssembler(inputCols=list(features), outputCol="vector").transform(known).select(*keep, "label", "vector").persist()
+    known = table.where(F.col(label).isNotNull()).select(*keep, (F.pmod(F.crc32(F.col(key).cast("string")), F.lit(HELD_OUT)) == 0).alias("held_out"), F.col(label).cast("double").alias("label"), *[F.nanvl(F.coalesce(F.col(f), F.lit(0.0)), F.lit(0.0)).alias(f) for f in features])
+    ready = VectorAssembler(inputCols=list(features), outputCol="vector").transform(known).select(*keep, "held_out", "label", "vector").persist()
     try:
         kind = GBTClassifier(labelCol="label", featuresCol="vector", maxIter=10, maxDepth=3, seed=42) if model == "gbt" else LogisticRegression(labelCol="label", featuresCol="vector", maxIter=50)
-        fitted = kind.fit(ready)
+        fitted = kind.fit(ready.where("not held_out"))
     finally:
         ready.unpersist()
-    return fitted.transform(ready).select(*keep, F.col("label").cast("int").alias("label"), vector_to_array("probability")[1].alias("score"))
+    return fitted.transform(ready.where("held_out")).select(*keep, F.col("label").cast("int").alias("label"), vector_to_array("probability")[1].alias("score"))

@@ -29,9 +29,45 @@ def prompt(domain: Column, text: Column) -> Column:
     return out.otherwise(F.replace(F.lit(TEMPLATES["prose"]), F.lit("{text}"), text))
 
 
-def token_length(c: Column, most: int = MAX_INPUT_TOKENS) -> Column:
-    """Tokens of a text as cut for a model: white-space tokens, where no tokenizer is plugged in."""
-    return F.least(F.size(words(c)), F.lit(most))
+#: How a chat model's tokenizer wraps a user's message: what stands before and behind it.
+CHAT = ("<|im_start|>user\n", "<|im_end|>\n<|im_start|>assistant\n")
+
+
+def chat(prompt: Column, wrap: tuple[str, str] = CHAT) -> Column:
+    """A prompt as a chat model is asked; ``wrap`` is the model's own."""
+    return F.concat(F.lit(wrap[0]), prompt, F.lit(wrap[1]))
+
+
+Tokenizer = tuple[Callable[[str], list], Callable[[list], str]]
+
+
+def token_length(c: Column, most: int = MAX_INPUT_TOKENS, tokenizer: Callable[[], Tokenizer] | None = None) -> Column:
+    """Tokens of a text as cut for a model: white-space tokens, where no tokenizer is plugged in.
+
+    ``tokenizer()`` is called once in a worker and gives the functions that encode and decode.
+    """
+    if tokenizer is None:
+        return F.least(F.size(words(c)), F.lit(most))
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode, _ = tokenizer()
+        for texts in batches:
+            yield texts.map(lambda t: None if t is None else min(most, len(encode(t)))).astype("Int32")
+
+    return F.pandas_udf(run, "int")(c)
+
+
+def truncated(c: Column, most: int = MAX_INPUT_TOKENS, tokenizer: Callable[[], Tokenizer] | None = None) -> Column:
+    """A text cut to its first tokens; white-space tokens are joined by a space. Shorter texts stay as they are."""
+    if tokenizer is None:
+        return F.when(F.size(words(c)) > most, F.array_join(F.slice(words(c), 1, most), " ")).otherwise(c)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode, decode = tokenizer()
+        for texts in batches:
+            yield texts.map(lambda t: t if t is None or len(ids := encode(t)) <= most else decode(ids[:most]))
+
+    return F.pandas_udf(run, "string")(c)
 
 
 def decode_budget(longest: Column, most: int = MAX_NEW_TOKENS) -> Column:
@@ -88,7 +124,7 @@ def run_batch(transform: Callable[[list[str]], list[str]], texts: list[str]) ->
         return run_batch(transform, texts[:half]) + run_batch(transform, texts[half:])
 
 
-def transformed(distinct: DataFrame, make: Callable[[], Callable[[list[str]], list[str]]], budget: int = TOKEN_BUDGET, cap: int = MAX_SEQS) -> DataFrame:
+def transformed(distinct: DataFrame, make: Callable[[], Callable[[list[str]], list[str]]], budget: int = TOKEN_BUDGET, cap: int = MAX_SEQS, tokenizer: Callable[[], Tokenizer] | None = None) -> DataFrame:
     """domain, text, new_text, fallback. ``make`` builds the transform once a task; batches follow the packing rule."""
 
     def kernel(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,14 +138,46 @@ def transformed(distinct: DataFrame, make: Callable[[], Callable[[list[str]], li
                     lo = hi
             yield pd.DataFrame({"domain": part["domain"].to_numpy(), "text": part["text"].to_numpy(), "new_text": [x for x, _ in new], "fallback": [x for _, x in new]})
 
-    return distinct.select("domain", "text", token_length(F.col("text")).alias("length")).mapInPandas(kernel, "domain string, text string, new_text string, fallback boolean")
+    return distinct.select("domain", "text", token_length(F.col("text"), tokenizer=tokenizer).alias("length")).mapInPandas(kernel, "domain string, text string, new_text string, fallback boolean")
+
 
+def text_key(text: Column) -> Column:
+    """A digest that stands for a text in joins, so that whole texts are shuffled once only."""
+    return F.unhex(F.sha2(text, 256))
 
-def control_set(items: DataFrame, make: Callable[[], Callable[[list[str]], list[str]]], key: str = "item_no") -> DataFrame:
-    """Items with all usable options transformed: distinct texts, one call each, joined back and put in their places."""
-    options = usable_options(items, key, "domain")
-    new = transformed(options.select("domain", "text").distinct(), make)
-    placed = options.join(new, ["domain", "text"]).select(key, "place", "new_text")
+
+def remembered(distinct: DataFrame, make: Callable[[], Callable[[list[str]], list[str]]], memo: str) -> DataFrame:
+    """``transformed`` with a memory across runs: Parquet in the folder ``memo``, to which results of new texts are added."""
+    spark = distinct.sparkSession
+    schema = "domain string, text string, new_text string, fallback boolean"
+    path = spark._jvm.org.apache.hadoop.fs.Path(memo)
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    keyed = distinct.withColumn("key", text_key(F.col("text")))
+    if there:
+        old = spark.read.schema(schema).parquet(memo).select("domain", text_key(F.col("text")).alias("key"))
+        keyed = keyed.join(old, ["domain", "key"], "left_anti")
+    transformed(keyed, make).write.mode("append").parquet(memo)
+    return spark.read.schema(schema).parquet(memo)
+
+
+def control_set(items: DataFrame, make: Callable[[], Callable[[list[str]], list[str]]], key: str = "item_no", dedup: bool = True, memo: str | None = None) -> DataFrame:
+    """Items with all usable options transformed: distinct texts, one call each, joined back and put in their places.
+
+    Without ``dedup`` a text is transformed once for each chunk that uses it, as a transform that samples may give
+    other results there; ``items`` then have a column ``chunk``. ``memo``: see ``remembered``.
+    """
+    by = ["domain", "key"] if dedup else ["domain", "chunk", "key"]
+    options = usable_options(items, key, *by[:-1]).withColumn("key", text_key(F.col("text")))
+    distinct = options.select(*by, "text").dropDuplicates(by)
+    if memo is not None:
+        new = remembered(distinct.select("domain", "text").dropDuplicates(), make, memo).select("domain", text_key(F.col("text")).alias("key"), "new_text").dropDuplicates(["domain", "key"])
+        by = ["domain", "key"]
+    elif dedup:
+        new = transformed(distinct, make).select("domain", text_key(F.col("text")).alias("key"), "new_text")
+    else:  # the chunk travels as part of the group
+        group = F.to_json(F.struct("domain", "chunk"))
+        new = transformed(distinct.select(group.alias("domain"), "text"), make).select(F.from_json("domain", "domain string, chunk long").alias("g"), text_key(F.col("text")).alias("key"), "new_text").select("g.*", "key", "new_text")
+    placed = options.drop("text").join(new, by).select(key, "place", "new_text")
     return writable(reassembled(items, placed, key))
 
 

@@ -24,6 +24,14 @@ def first_character_map(rows: DataFrame, *group: str, text: str = "text") -> Dat
     return first_characters(rows, *group, text=text).groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("first_char", "n"))).alias("first_char_distribution"))
 
 
+#: Characters of a prompt that a diagnosis shows.
+PROMPT_PREVIEW = 300
+
+
+def prompt_preview(prompt: Column) -> Column:
+    return F.left(prompt, F.lit(PROMPT_PREVIEW))
+
+
 def side_by_side(completions: DataFrame, *key: str) -> DataFrame:
     """``key``, treatment_raw, control_raw, identical_output of each prompt that either policy answered."""
     of = lambda g: F.max(F.when(F.col("grp") == g, F.col("completion"))).alias(f"{g}_raw")

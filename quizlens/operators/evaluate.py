@@ -33,3 +33,17 @@ def require_rows(df: DataFrame, what: str) -> DataFrame:
     if df.isEmpty():
         raise RuntimeError(f"no rows: {what}")
     return df
+
+
+def require_all(**frames: DataFrame) -> dict[str, DataFrame]:
+    """All frames, or an error that names each one that is empty."""
+    empty = [name for name, df in frames.items() if df.isEmpty()]
+    if empty:
+        raise RuntimeError(f"no rows: {', '.join(empty)}")
+    return frames
+
+
+def empty_domains(df: DataFrame, domains: tuple[str, ...], domain: str = "domain") -> list[str]:
+    """The domains without a row, to be warned about; a flag for each of the given domains reaches the driver."""
+    flags = df.agg(*[F.coalesce(F.bool_or(F.col(domain) == d), F.lit(False)).alias(d) for d in domains]).first()
+    return [d for d in domains if not flags[d]]

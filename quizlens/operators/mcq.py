@@ -7,6 +7,7 @@ shuffles of Python's generator seeded by the item, bit for bit, three in a row f
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -105,8 +106,29 @@ def parity_orders(pairs: DataFrame) -> DataFrame:
     return rows.select("item_no", "item_id", F.inline(F.array(*parts)))
 
 
+def serial_permutation(rows: DataFrame, position: str, options: str, seed: int = SEED) -> DataFrame:
+    """``rows`` with ``ord`` and ``correct_letter`` as one generator gives them row after row in the order of ``position``.
+
+    Inherently serial, so a single task has a position and a number of each row, and nothing else; meant for samples.
+    """
+    sizes = rows.select(F.col(position).alias("p"), F.size(options).alias("n")).coalesce(1).sortWithinPartitions("p")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rng = random.Random(seed)
+        for part in parts:
+            orders = []
+            for n in part["n"].tolist():
+                order = list(range(n))
+                rng.shuffle(order)
+                orders.append(order)
+            yield pd.DataFrame({"p": part["p"], "ord": orders})
+
+    made = sizes.mapInPandas(run, "p long, ord array<int>").withColumnRenamed("p", position)
+    return rows.join(made, position).withColumn("correct_letter", correct_letter(F.col("ord")))
+
+
 def serial_orders(sizes: list[int], seed: int = SEED) -> list[tuple[list[int], str]]:
-    """(order, correct letter) of items in sequence by a single generator: inherently serial, for one partition's worth of items."""
+    """(order, correct letter) of items in sequence by a single generator, for a list in the driver."""
     rng, out = random.Random(seed), []
     for n in sizes:
         order = list(range(n))

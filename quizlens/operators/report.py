@@ -32,12 +32,12 @@ def three(x: float | None) -> str:
 
 
 def separability_verdict(auroc: float) -> str:
-    return VERDICTS_SEPARABLE["strong" if auroc >= STRONG_AUROC else "moderate" if auroc >= MODERATE_AUROC else "none"]
+    return VERDICTS_SEPARABLE["strong" if auroc >= STRONG_AUROC else "moderate" if auroc >= MODERATE_AUROC else "none"].format(auroc=auroc)
 
 
 def exploitation_verdict(treatment: float, control: float) -> str:
     diff = treatment - control
-    return VERDICTS_EXPLOITED["confirmed" if diff > CONFIRMED_GAP else "weak" if diff > WEAK_GAP else "none"]
+    return VERDICTS_EXPLOITED["confirmed" if diff > CONFIRMED_GAP else "weak" if diff > WEAK_GAP else "none"].format(t=treatment, c=control, diff=diff)
 
 
 def _grid(head: list[str], rows: list[list[str]]) -> list[str]:
@@ -55,13 +55,14 @@ def markdown(classifiers: list[dict], results: list[dict]) -> str:
     domains = {g: sorted(d for h, d in of if h == g and d is not None) for g in GROUPS}
     return "\n".join([
         "# Audit report\n",
-        "## Separability\n",
+        "## Phase 1: separability\n",
         separability_verdict(overall["gbm_auroc"]) + "\n",
         *_grid(["Split", "GBM AUROC", "LogReg AUROC", "N"], [[r["split"], three(r["gbm_auroc"]), three(r["logreg_auroc"]), str(r["n_samples"])] for r in classifiers]),
-        "\n## Exploitation\n",
+        "\n## Phase 2: exploitation\n",
         exploitation_verdict(of["treatment", None]["gap"], of["control", None]["gap"]) + "\n",
+        "### Overall\n",
         *_grid(["Group", "Original", "Neutralized", "Adversarial", "Exploitation gap"], [[g, *[three(of[g, None][c]) for c in cells]] for g in GROUPS]),
-        "",
+        "\n### By domain\n",
         *_grid(["Group", "Domain", "Original", "Neutralized", "Adversarial", "Exploitation gap"], [[g, d, *[three(of[g, d][c]) for c in cells]] for g in GROUPS for d in domains[g]]),
     ])
 

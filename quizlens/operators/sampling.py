@@ -27,6 +27,17 @@ def indices(total: int, n: int, seed: int = SEED) -> list[int]:
     return random.Random(seed).sample(range(total), n) if total > n else list(range(total))
 
 
+def capped(df: DataFrame, group: str, position: str, n: int, seed: int = SEED) -> DataFrame:
+    """``indexed`` with ``place``: groups above ``n`` in the order drawn, others in their own order."""
+    return indexed(df, group, position, n, seed).withColumnRenamed("draw", "place")
+
+
+def resorted(df: DataFrame, group: str, position: str, n: int, seed: int = SEED) -> DataFrame:
+    """``indexed`` with ``place``: the sample in its own order again, whatever order it was drawn in."""
+    drawn = indexed(df, group, position, n, seed).drop("draw")  # at most ``n`` rows a group
+    return drawn.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(position)).cast("long") - 1)
+
+
 def indexed(df: DataFrame, group: str, position: str, n: int, seed: int = SEED) -> DataFrame:
     """Rows whose dense position is drawn, with ``draw``, the order in which it was; each group has a generator of its own.
 

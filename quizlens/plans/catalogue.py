@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..fixed import DOMAINS
 from ..functions import answers, identity, text, verdicts
-from ..operators import classify, control, diagnostics, evaluate, features, mcq, options, report, sampling
+from ..operators import classify, control, diagnostics, evaluate, features, mcq, options, report, sampling, training
+from ..operators.positions import numbered
 from ..sources.files import fingerprints
 from .items import completions, items, neutral, pairs, split_items, table
 
@@ -79,9 +81,9 @@ def options_reassembled(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def word_sentence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    w, s = features.word_lengths(docs, "doc_id"), features.sentence_lengths(docs, "doc_id")
-    of = lambda df, p: df.select("doc_id", F.col("n").alias(f"n_{p}"), _six("mean").alias(f"{p}_mean"), _six("var").alias(f"{p}_var"))
-    return docs.select("doc_id", F.length("text").cast("long").alias("n_chars")).join(of(w, "words"), "doc_id", "left").join(of(s, "sents"), "doc_id", "left").fillna(0, ["n_words", "n_sents"])
+    rows = docs.select("doc_id", F.length("text").cast("long").alias("n_chars"), *[features.length_stats(F.col("text"), of).alias(p) for p, of in (("words", "words"), ("sents", "sentences"))])
+    of = lambda p: [F.col(f"{p}.n").alias(f"n_{p}"), _six(F.col(f"{p}.mean")).alias(f"{p}_mean"), _six(F.col(f"{p}.var")).alias(f"{p}_var")]
+    return rows.select("doc_id", "n_chars", *of("words"), *of("sents"))
 
 
 @query
@@ -101,14 +103,13 @@ def char_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def corpus_zipf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.zipf(features.token_counts(table(spark, sf_dir, "documents"))).select("token", "n", _six("zipf").alias("zipf"))
+    return features.lexicon(table(spark, sf_dir, "documents")).select("token", "n", _six("zipf").alias("zipf"))
 
 
 @query
 def rare_token_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of the benchmark are the lexicon, as most of the corpus is rare in it."""
-    lexicon = features.zipf(features.token_counts(table(spark, sf_dir, "benchmark")))
-    return features.rare_rate(table(spark, sf_dir, "documents"), lexicon, "doc_id").select("doc_id", _six("rare_token_rate").alias("rare_token_rate"))
+    docs = table(spark, sf_dir, "documents")
+    return features.rare_rate(docs, features.lexicon(docs), "doc_id").select("doc_id", _six("rare_token_rate").alias("rare_token_rate"))
 
 
 @query
@@ -119,10 +120,10 @@ def shape_tag_kl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, domain (language), label (quality) and the features of labelled documents."""
-    bench = table(spark, sf_dir, "benchmark")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("label"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("domain"), "text").join(labels, "doc_id")
-    made = features.feature_table(docs, "doc_id", features.zipf(features.token_counts(bench)), features.tag_shares(bench))
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", F.col("lang").alias("domain"), "text").join(labels, "doc_id")
+    made = features.with_features(rows, lexicon=features.lexicon(docs), reference=features.tag_shares(table(spark, sf_dir, "benchmark")))
     return made.select("doc_id", "domain", "label", *[_six(f).alias(f) for f in features.FEATURES])
 
 
@@ -131,6 +132,31 @@ def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _features(spark, sf_dir).withColumn("label", F.col("label").cast("long"))
 
 
+@query
+def option_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit's feature rows: each usable option with its five features."""
+    rows = options.exploded(items(spark, sf_dir), "item_no", "item_id", "domain")
+    made = features.with_features(rows, lexicon=features.lexicon(table(spark, sf_dir, "documents")), reference=features.tag_shares(table(spark, sf_dir, "benchmark")))
+    return made.select("item_no", "item_id", "domain", F.col("option_idx").cast("long").alias("option_idx"), F.col("label").cast("long").alias("label"), F.md5("text").alias("text_md5"), *[_six(f).alias(f) for f in features.FEATURES])
+
+
+@query
+def reference_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of the first words of an ordered corpus."""
+    return features.tag_counts(features.prefix(table(spark, sf_dir, "documents"), "doc_id"))
+
+
+@query
+def linguistic_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = text.linguistic_tokens(F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(found).cast("long").alias("n_tokens"), _joined(found).alias("tokens_md5"))
+
+
+@query
+def text_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.preview(F.col("text")).alias("preview"))
+
+
 @query
 def label_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = options.exploded(items(spark, sf_dir), "domain")
@@ -142,6 +168,49 @@ def keyed_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.keyed(items(spark, sf_dir).select("item_no", "item_id", "domain"), "domain", SAMPLE, "item_id", "item_no").withColumn("draw", F.col("draw").cast("long"))
 
 
+@query
+def matched_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of one size and seed from the raw and the transformed items: equal pools give equal ids."""
+    rows = items(spark, sf_dir)
+    drawn = [sampling.keyed(arm.select("item_no", "item_id", "domain"), "domain", SAMPLE, "item_id", "item_no").select("domain", "item_no", "item_id", F.lit(n).alias("arm")) for n, arm in ((1, rows), (2, neutral(rows)))]
+    sides = drawn[0].unionByName(drawn[1]).groupBy("domain", "item_no", "item_id").agg(F.sum("arm").alias("arms"))
+    return sides.groupBy("domain").agg(F.count_if(F.col("arms") == 3).alias("both"), F.count_if(F.col("arms") < 3).alias("one"))
+
+
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items in the order of their ids within a domain."""
+    return numbered(items(spark, sf_dir), "domain", "item_id", "item_no")
+
+
+@query
+def parity_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that Python's generator draws from sorted items, in their own order again."""
+    return sampling.resorted(_placed(spark, sf_dir).select("item_no", "item_id", "domain", "position"), "domain", "position", SAMPLE)
+
+
+@query
+def parity_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows in the order drawn, where a domain has more than the cap."""
+    return sampling.capped(_placed(spark, sf_dir).select("item_no", "item_id", "domain", "position"), "domain", "position", SAMPLE)
+
+
+@query
+def serial_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Options of a sample as one generator shuffles them row after row, domain after domain."""
+    rows = sampling.capped(numbered(mcq.trainable(items(spark, sf_dir)), "domain", "item_id", "item_no"), "domain", "position", SAMPLE)
+    rank = F.array_position(F.array(*map(F.lit, DOMAINS)), F.col("domain")) - 1
+    rows = rows.select("item_no", "domain", (rank * SAMPLE + F.col("place")).alias("seq"), F.slice(F.concat(F.array("gold"), "distractors"), 1, 4).alias("opts"))
+    made = mcq.serial_permutation(rows, "seq", "opts")
+    return made.select("item_no", "domain", "seq", F.array_join(F.transform("ord", lambda i: i.cast("string")), ",").alias("ord"), "correct_letter")
+
+
+@query
+def training_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Effective batches and checkpoint steps for a grid of settings."""
+    grid = spark.range(1, 9).select(F.col("id").alias("per_device")).crossJoin(F.broadcast(spark.range(1, 601, 57).select(F.col("id").alias("steps"))))
+    return grid.select("per_device", "steps", training.effective_batch(F.col("per_device"), F.lit(4).cast("long")).alias("batch"), training.save_steps(F.col("steps")).alias("save_steps"))
+
+
 @query
 def chunk_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = control.with_chunks(items(spark, sf_dir).select("item_no", "item_id", "domain")).groupBy("domain", "chunk").agg(F.count("*").alias("n_items"))
@@ -159,7 +228,8 @@ def option_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def mcq_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mcq.examples(items(spark, sf_dir).where(~identity.is_test(F.col("item_id"))), "item_no", "item_id")
+    rows = items(spark, sf_dir).where(~identity.is_test(F.col("item_id")))
+    return mcq.examples(evaluate.require_rows(rows, "training items"), "item_no", "item_id")
 
 
 @query
@@ -178,10 +248,41 @@ def reward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", answers.reward(F.col("text"), gold).alias("reward"))
 
 
+@query
+def reward_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reward as a trainer's SQL calls it."""
+    answers.register(spark)
+    rows = table(spark, sf_dir, "conversations").withColumn("gold", F.chr((F.lit(65) + F.pmod("conv_id", F.lit(4))).cast("int")))
+    return rows.selectExpr("conv_id", "turn", "reward(text, gold) AS reward")
+
+
 def _accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    evaluate.require_all(**{"test items": pairs(spark, sf_dir)})
     return evaluate.accuracy(completions(spark, sf_dir))
 
 
+@query
+def console_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run reports while it goes: rows by split, label balance, accuracies; name and value."""
+    split = split_items(spark, sf_dir).groupBy(F.when(F.col("is_test"), "test items").otherwise("training items").alias("name")).agg(F.count("*").cast("double").alias("value"))
+    balance = options.exploded(items(spark, sf_dir), "domain").groupBy(F.concat(F.lit("label "), F.col("label").cast("string"), F.lit(" "), "domain").alias("name")).agg(F.count("*").cast("double").alias("value"))
+    accuracy = _accuracy(spark, sf_dir).select(F.concat_ws(" ", F.lit("accuracy"), "grp", "variant", F.coalesce("domain", F.lit("overall"))).alias("name"), _six("accuracy").alias("value"))
+    return split.unionByName(balance).unionByName(accuracy)
+
+
+@query
+def empty_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domains that would be warned about, of the audit's and one that does not exist."""
+    missing = evaluate.empty_domains(items(spark, sf_dir), (*DOMAINS, "law"))
+    return spark.createDataFrame([(d,) for d in missing], "domain string")
+
+
+@query
+def prompt_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mcq.variants(pairs(spark, sf_dir))
+    return rows.select("item_no", "variant", diagnostics.prompt_preview(F.col("prompt")).alias("preview"))
+
+
 @query
 def accuracy_by_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _accuracy(spark, sf_dir).withColumn("accuracy", _six("accuracy"))
@@ -235,9 +336,9 @@ def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def dedup_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    opts = control.usable_options(items(spark, sf_dir), "item_no", "domain")
-    new = opts.select("domain", "text").distinct().withColumn("new_text", F.lower("text"))
-    return opts.join(new, ["domain", "text"]).select("item_no", F.col("place").cast("long").alias("place"), "domain", F.md5("new_text").alias("new_md5"))
+    opts = control.usable_options(items(spark, sf_dir), "item_no", "domain").withColumn("key", control.text_key(F.col("text")))
+    new = opts.select("domain", "key", "text").dropDuplicates(["domain", "key"]).select("domain", "key", F.lower("text").alias("new_text"))
+    return opts.drop("text").join(new, ["domain", "key"]).select("item_no", F.col("place").cast("long").alias("place"), "domain", F.md5("new_text").alias("new_md5"))
 
 
 @query
@@ -274,6 +375,14 @@ def control_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("item_no", "item_id", "domain", control.style(F.col("domain")).alias("style"), F.md5("question").alias("question_md5"), _joined("options").alias("options_md5"), F.md5(control.prompt(F.col("domain"), first)).alias("prompt_md5"), "answer")
 
 
+@query
+def chat_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts of distinct options as a chat model is asked, cut to its input."""
+    opts = control.usable_options(items(spark, sf_dir), "item_no", "domain")
+    asked = control.chat(control.prompt(F.col("domain"), F.col("text")))
+    return opts.select("item_no", F.col("place").cast("long").alias("place"), F.md5(asked).alias("chat_md5"), F.md5(control.truncated(F.col("text"), 64)).alias("cut_md5"), control.token_length(F.col("text"), 64).cast("long").alias("length"))
+
+
 @query
 def completion_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
@@ -309,7 +418,7 @@ def parity_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _trained(model: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        scored = classify.model_scores(_features(spark, sf_dir), features.FEATURES, "label", model, "domain")
+        scored = classify.model_scores(_features(spark, sf_dir), features.FEATURES, "doc_id", "label", model, ("domain",))
         scored = scored.select(F.explode(F.array(F.lit("overall"), "domain")).alias("split"), "label", "score")
         return classify.auroc(scored, "split")
 
@@ -322,6 +431,6 @@ QUERIES["logreg_auroc"] = _trained("logreg")
 
 @query
 def file_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints(spark, sf_dir, "region*.parquet")
+    return fingerprints(spark, sf_dir, "*.parquet")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..fixed import DOMAINS, EPSILON, GROUPS, ITEM_CHUNK, MAX_INPUT_TOKENS, MAX_NEW_TOKENS, MAX_SEQS, QUESTION_FOOTER, QUESTION_HEADER, RARE_ZIPF, STYLE_OF_DOMAIN, TEMPLATES, TOKEN_BUDGET, VARIANTS
 from ..functions.text import NOT_SPACE, SPACE
-from ..operators.features import OTHER_SHAPE, SHAPES, TAGS
+from ..operators.features import OTHER_SHAPE, REFERENCE_WORDS, SHAPES, TAGS
 from .catalogue import ANSWER_CASES, AUROC_CASES, FILE_CASES, SAMPLE
 
 _q = lambda s: "'" + s.replace("'", "''") + "'"
@@ -61,7 +61,7 @@ _ENTROPY = "SELECT doc_id, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS e FROM (S
 _COUNTS = "SELECT lower(x) AS token, count(*) AS n FROM (SELECT unnest({words}) AS x FROM {table}) GROUP BY 1"
 _ZIPF = "SELECT token, n, log10(n / (SELECT sum(n)::DOUBLE FROM {c})) + 9 AS zipf FROM {c}"
 
-LEXICON = f"""counts AS ({_COUNTS.format(words=_words("text"), table="benchmark")}),
+LEXICON = f"""counts AS ({_COUNTS.format(words=_words("text"), table="documents")}),
 common AS (SELECT token FROM ({_ZIPF.format(c="counts")}) WHERE zipf >= {RARE_ZIPF})"""
 _RARE = f"SELECT doc_id, 1 - count(c.token) / count(*)::DOUBLE AS rate FROM (SELECT doc_id, lower(unnest({_words('text')})) AS token FROM documents) t LEFT JOIN common c USING (token) GROUP BY doc_id"
 
@@ -82,6 +82,13 @@ _FEATURES = f"""SELECT d.doc_id, d.lang AS domain, l.quality::BIGINT AS label, c
   coalesce((floor((e) * 1e6 + 0.5) / 1e6), {_NAN}) AS char_entropy, coalesce((floor((kl) * 1e6 + 0.5) / 1e6), {_NAN}) AS pos_kl_div
 FROM documents d JOIN labels l USING (doc_id) LEFT JOIN wl USING (doc_id) LEFT JOIN sl USING (doc_id) LEFT JOIN ent USING (doc_id) LEFT JOIN rare USING (doc_id) LEFT JOIN kl USING (doc_id)"""
 
+# The same for exploded options, which stand in for documents under a row number.
+_EXPLODED = f"""e AS (SELECT item_no, item_id, domain, gold_at, unnest(range(len(options))) AS k, options FROM gold WHERE gold_at IS NOT NULL),
+rows_ AS (SELECT row_number() OVER () AS doc_id, item_no, item_id, domain, (CASE WHEN k = gold_at THEN 0 WHEN k < gold_at THEN k + 1 ELSE k END)::BIGINT AS option_idx, (k = gold_at)::BIGINT AS label, options[k + 1] AS text FROM e WHERE {_has("options[k + 1]")})"""
+_OPTION_CTES = f"{GOLD}, {LEXICON}, {_EXPLODED}, {SHARES}, wl AS ({_WORD_LEN}), sl AS ({_SENT_LEN}), ent AS ({_ENTROPY}), rare AS ({_RARE}), kl AS ({_KL})"
+_OPTION_CTES = (_at := _OPTION_CTES.index("ref AS")) and _OPTION_CTES[:_at] + _OPTION_CTES[_at:].replace("FROM documents", "FROM rows_")
+_OPTION_FEATURES = _FEATURES.replace("d.doc_id, d.lang AS domain, l.quality::BIGINT AS label", "d.item_no, d.item_id, d.domain, d.option_idx, d.label, md5(d.text) AS text_md5").replace("FROM documents d JOIN labels l USING (doc_id)", "FROM rows_ d")
+
 _letters = "chr((65 + {i})::INT)"
 
 
@@ -166,6 +173,12 @@ SQL: dict[str, str] = {
     "rare_token_rate": f"WITH {LEXICON} SELECT doc_id, coalesce((floor((rate) * 1e6 + 0.5) / 1e6), {_NAN}) AS rare_token_rate FROM documents LEFT JOIN ({_RARE}) USING (doc_id)",
     "shape_tag_kl": f"WITH {SHARES} SELECT doc_id, coalesce((floor((kl) * 1e6 + 0.5) / 1e6), {_NAN}) AS pos_kl_div FROM documents LEFT JOIN ({_KL}) USING (doc_id)",
     "feature_table": f"WITH {FEATURE_CTES} {_FEATURES}",
+    "option_features": f"WITH {_OPTION_CTES} {_OPTION_FEATURES}",
+    "reference_tags": f"WITH w AS (SELECT doc_id, unnest({_words('text')}) AS x, unnest(range(len({_words('text')}))) AS k FROM documents), first AS (SELECT x FROM w QUALIFY row_number() OVER (ORDER BY doc_id, k) <= {REFERENCE_WORDS}) SELECT {_TAG} AS tag, count(*) AS n FROM first GROUP BY 1",
+    "linguistic_tokens": "WITH t AS (SELECT conv_id, turn, regexp_extract_all(text, '[\\p{L}\\p{N}]+(?:[''’.-][\\p{L}\\p{N}]+)*|[^\\s\\p{L}\\p{N}]') AS w FROM conversations) SELECT conv_id, turn, len(w) AS n_tokens, md5(array_to_string(w, chr(1))) AS tokens_md5 FROM t",
+    "text_previews": "SELECT doc_id, CASE WHEN length(text) > 80 THEN substr(text, 1, 80) || '...' ELSE text END AS preview FROM documents",
+    "matched_arms": f"WITH {ITEMS}, drawn AS (SELECT domain, item_no FROM items QUALIFY row_number() OVER (PARTITION BY domain ORDER BY md5('42:' || item_id || ':' || item_no::VARCHAR), item_id, item_no) <= {SAMPLE}) SELECT domain, count(*) AS both, 0::BIGINT AS one FROM drawn GROUP BY domain",
+    "training_numbers": "SELECT p AS per_device, s AS steps, p * 4 AS batch, greatest(50, s // 4)::BIGINT AS save_steps FROM range(1, 9) a(p) CROSS JOIN range(1, 601, 57) b(s)",
     "label_balance": f"WITH {GOLD}, e AS (SELECT domain, unnest(range(len(options))) AS k, gold_at, options FROM gold WHERE gold_at IS NOT NULL) SELECT domain, (k = gold_at)::BIGINT AS label, count(*) AS n FROM e WHERE {_has('options[k + 1]')} GROUP BY GROUPING SETS ((domain, label), (label))",
     "keyed_sample": f"WITH {ITEMS} SELECT item_no, item_id, domain, row_number() OVER (PARTITION BY domain ORDER BY md5('42:' || item_id || ':' || item_no::VARCHAR), item_id, item_no) AS draw FROM items QUALIFY draw <= {SAMPLE}",
     "chunk_progress": f"WITH {CHUNKS}, per AS (SELECT domain, chunk, count(*) AS n_items FROM chunked GROUP BY ALL) SELECT domain, chunk, n_items, (sum(n_items) OVER (PARTITION BY domain ORDER BY chunk))::BIGINT AS done, (floor((100.0::DOUBLE * sum(n_items) OVER (PARTITION BY domain ORDER BY chunk) / sum(n_items) OVER (PARTITION BY domain)) * 1e6 + 0.5) / 1e6) AS percent FROM per",
@@ -174,6 +187,10 @@ SQL: dict[str, str] = {
     "paired_variants": f"WITH {PAIRS} SELECT item_no, item_id, domain, variant, {_prompt('o', 'ord')} AS prompt, {_CORRECT} AS correct_letter FROM vars",
     "letter_parse": f"SELECT conv_id, turn, {_LETTER.format(x='text')} AS letter FROM conversations",
     "reward": f"SELECT conv_id, turn, CASE WHEN {_LETTER.format(x='text')} = chr((65 + conv_id % 4)::INT) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS reward FROM conversations",
+    "reward_sql": f"SELECT conv_id, turn, CASE WHEN {_LETTER.format(x='text')} = chr((65 + conv_id % 4)::INT) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS reward FROM conversations",
+    "console_metrics": f"WITH {ACCURACY}, e AS (SELECT domain, unnest(range(len(options))) AS k, gold_at, options FROM gold WHERE gold_at IS NOT NULL) SELECT CASE WHEN bucket < 200 THEN 'test items' ELSE 'training items' END AS name, count(*)::DOUBLE AS value FROM split GROUP BY 1 UNION ALL SELECT 'label ' || (k = gold_at)::INT || ' ' || domain, count(*)::DOUBLE FROM e WHERE {_has('options[k + 1]')} GROUP BY 1 UNION ALL SELECT 'accuracy ' || grp || ' ' || variant || ' ' || coalesce(domain, 'overall'), (floor((accuracy) * 1e6 + 0.5) / 1e6) FROM acc",
+    "empty_domains": f"WITH {ITEMS} SELECT d AS domain FROM (SELECT unnest(['math', 'code', 'stem', 'law']) AS d) WHERE d NOT IN (SELECT domain FROM items)",
+    "prompt_previews": f"WITH {PAIRS} SELECT item_no, variant, substr({_prompt('o', 'ord')}, 1, 300) AS preview FROM vars",
     "accuracy_by_variant": f"WITH {ACCURACY} SELECT grp, variant, domain, n, n_correct, (floor((accuracy) * 1e6 + 0.5) / 1e6) AS accuracy FROM acc",
     "exploitation_gap": f"WITH {ACCURACY} SELECT grp, domain, (floor((gap) * 1e6 + 0.5) / 1e6) AS gap FROM gaps",
     "verdicts_by_threshold": f"WITH {ACCURACY}, sides AS (SELECT coalesce(domain, 'overall') AS name, (floor((max(gap) FILTER (WHERE grp = 'treatment')) * 1e6 + 0.5) / 1e6) - (floor((max(gap) FILTER (WHERE grp = 'control')) * 1e6 + 0.5) / 1e6) AS diff FROM gaps GROUP BY 1) SELECT a AS name, CASE WHEN isnan(b) THEN 'none' WHEN b >= 0.75 THEN 'strong' WHEN b >= 0.60 THEN 'moderate' ELSE 'none' END AS verdict FROM (VALUES {_values([(n, v if v is None or v != v else float(v)) for n, v in AUROC_CASES])}) AS v(a, b) UNION ALL SELECT 'gap ' || name, CASE WHEN isnan(diff) THEN 'none' WHEN diff > 0.05 THEN 'confirmed' WHEN diff > 0 THEN 'weak' ELSE 'none' END FROM sides",
@@ -186,6 +203,7 @@ SQL: dict[str, str] = {
     "greedy_packing": f"WITH {PACKED} SELECT domain, chunk, batch, text_md5, length FROM packed",
     "decode_budget": f"WITH {PACKED} SELECT domain, chunk, batch, count(*) AS n_seqs, max(length) AS longest, least({MAX_NEW_TOKENS}, ceil(max(length) * 1.6::DOUBLE)::BIGINT + 32) AS budget FROM packed GROUP BY domain, chunk, batch",
     "control_rows": f"WITH {ITEMS}, n AS (SELECT item_no, item_id, domain, question, answer, list_transform(options, lambda o: CASE WHEN {_has('o')} THEN lower(o) ELSE o END) AS options FROM items) SELECT item_no, item_id, domain, {_STYLE} AS style, md5(question) AS question_md5, {_JOINED.format(x='options')} AS options_md5, md5({_template('options[1]')}) AS prompt_md5, answer FROM n WHERE len(options) > 0 AND answer <> ''",
+    "chat_prompts": f"WITH {ITEMS}, e AS (SELECT item_no, domain, unnest(range(len(options))) AS place, options FROM items), u AS (SELECT item_no, domain, place, options[place + 1] AS text FROM e WHERE {_has('options[place + 1]')}) SELECT item_no, place, md5('<|im_start|>user' || chr(10) || ({_template('text')}) || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)) AS chat_md5, md5(CASE WHEN len({_words('text')}) > 64 THEN array_to_string({_words('text')}[1:64], ' ') ELSE text END) AS cut_md5, least(len({_words('text')}), 64)::BIGINT AS length FROM u",
     "completion_profile": f"WITH p AS (SELECT role, count(*) AS n, count(*) FILTER (WHERE NOT {_has('text')}) AS empty_or_whitespace, count(*) FILTER (WHERE {_LETTER.format(x='text')} IS NOT NULL) AS contains_valid_letter FROM conversations GROUP BY role), f AS (SELECT role, substr(text, 1, 1) AS first_char, count(*) AS n_first FROM conversations WHERE length(text) > 0 GROUP BY ALL) SELECT role, n, empty_or_whitespace, contains_valid_letter, first_char, n_first FROM p LEFT JOIN f USING (role)",
     "policy_agreement": f"WITH {COMPLETIONS}, s AS (SELECT item_no, item_id, variant, max(completion) FILTER (WHERE grp = 'treatment') AS t, max(completion) FILTER (WHERE grp = 'control') AS c FROM completions GROUP BY ALL) SELECT variant, count(*) FILTER (WHERE t IS NOT DISTINCT FROM c) AS same, count(*) AS n, (count(*) FILTER (WHERE t IS NOT DISTINCT FROM c)) || '/' || count(*) AS identical_outputs FROM s GROUP BY variant",
     "file_overlap": f"WITH f AS (SELECT * FROM (VALUES {_values(FILE_CASES)}) AS v(grp, file, md5)) SELECT file, md5 FROM f WHERE grp = 'treatment' INTERSECT SELECT file, md5 FROM f WHERE grp = 'control'",

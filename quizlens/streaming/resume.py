@@ -6,6 +6,8 @@ out by id, so each item is written once. Stopping between batches loses nothing.
 
 from __future__ import annotations
 
+import signal
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,3 +27,26 @@ def control_stream(spark: SparkSession, source: str, sink: str, checkpoint: str,
 
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def until_stopped(query: StreamingQuery, signals: tuple[int, ...] = (signal.SIGTERM, signal.SIGINT), poll: float = 0.2) -> int:
+    """Wait for the stream's end. On one of the signals the batch at hand is finished, then the stream is stopped.
+
+    Returns an exit code: 0 when all is done, 1 when stopped early, so that a scheduler starts the job again. A batch that
+    begins while the stream is being stopped is not committed, and its rows are written by the next run.
+    """
+    asked = threading.Event()
+    before = {s: signal.signal(s, lambda *_: asked.set()) for s in signals}
+    try:
+        while not asked.is_set():
+            if query.awaitTermination(poll):
+                return 0
+        done = len(query.recentProgress)
+        while query.isActive and query.status["isTriggerActive"] and len(query.recentProgress) == done:
+            if query.awaitTermination(poll):
+                return 0
+        query.stop()
+        return 1
+    finally:
+        for s, handler in before.items():
+            signal.signal(s, handler)

@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,7 +60,7 @@ def test_samples(spark):
 def test_features_follow_python(spark, text):
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     lexicon = spark.createDataFrame([("a", 5.0), ("bb", 2.0)], "token string, zipf double")
-    row = features.feature_table(df, "doc_id", lexicon, {"LOW": 0.5, "CAP": 0.5}).collect()[0]
+    row = features.with_features(df, lexicon=lexicon, reference={"LOW": 0.5, "CAP": 0.5}).collect()[0]
     words = (text or "").split()
     sents = [s.strip() for s in (text or "").split(".") if s.strip()]
 
@@ -71,6 +72,8 @@ def test_features_follow_python(spark, text):
 
     assert row.word_len_burstiness == pytest.approx(burst([len(w) for w in words]))
     assert row.sent_len_burstiness == pytest.approx(burst([len(s) for s in sents]))
+    for of, want in (("words", row.word_len_burstiness), ("sentences", row.sent_len_burstiness)):
+        assert features.burstiness(df, "doc_id", of).collect()[0].burstiness == pytest.approx(want)
     if words:
         assert row.rare_token_rate == pytest.approx(sum(w.lower() != "a" for w in words) / len(words))
     else:
@@ -93,6 +96,77 @@ def test_divergence_follows_its_definition(spark):
     assert features.tag_divergence(df, q, "doc_id").collect()[0].pos_kl_div == pytest.approx(want)
 
 
+def test_repeated_and_null_keys_do_not_meet(spark):
+    rows = [(1, "a bbbb"), (1, "ccccc d eeeeeeeee"), (None, "x yyyy"), (None, None), (2, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lexicon = spark.createDataFrame([("a", 5.0)], "token string, zipf double")
+
+    def burst(xs):
+        mean = sum(xs) / max(1, len(xs))
+        return sum((x - mean) ** 2 for x in xs) / len(xs) / mean if len(xs) > 1 else 0.0
+
+    want = sorted((repr(d), round(burst([len(w) for w in (t or "").split()]), 9)) for d, t in rows)
+    assert sorted((repr(r.doc_id), round(r.burstiness, 9)) for r in features.burstiness(df, "doc_id").collect()) == want
+    made = features.with_features(df, lexicon=lexicon, reference={"LOW": 1.0}).collect()
+    assert sorted((repr(r.doc_id), round(r.word_len_burstiness, 9)) for r in made) == want
+    assert sorted(repr(r.rare_token_rate) for r in made) == ["0.5", "1.0", "1.0", "nan", "nan"]
+
+
+def test_taggers_are_plugged_in(spark):
+    df = spark.createDataFrame([(1, "to be, or not")], "doc_id long, text string")
+
+    def tagger():
+        return lambda text: ["V" if w == "be" else "W" for w in re.findall(r"\w+|[^\w\s]", text)]
+
+    assert features.tag_shares(df, tagger=tagger) == {"V": 0.2, "W": 0.8}
+    got = features.tag_divergence(df, {"W": 1.0}, "doc_id", tagger=tagger).collect()[0].pos_kl_div
+    assert got == pytest.approx(0.2 * math.log((0.2 + 1e-6) / 2e-6) + 0.8 * math.log((0.8 + 1e-6) / (1 + 1e-6)))
+
+    def missing():
+        raise ImportError("no such tagger")
+
+    assert math.isnan(features.tag_divergence(df, {"W": 1.0}, "doc_id", tagger=missing).collect()[0].pos_kl_div)
+    assert features.tag_shares(df, tagger=missing) == {}
+
+
+def test_prefixes_end_within_a_text(spark):
+    df = spark.createDataFrame([(3, "g h"), (1, "a  b c"), (2, None), (4, "i"), (0, " ")], "doc_id long, text string")
+    for most, want in ((1, ["a"]), (3, ["a", "b", "c"]), (4, ["a", "b", "c", "g"]), (99, ["a", "b", "c", "g", "h", "i"])):
+        got = [w for r in features.prefix(df, "doc_id", most).orderBy("doc_id").collect() for w in (r.text or "").split()]
+        assert got == want
+    assert features.prefix(df.limit(0), "doc_id").count() == 0
+
+
+def test_tokenizers_are_plugged_in(spark):
+    df = spark.createDataFrame([("abcdef",), (None,), ("ab",)], "text string")
+    letters = lambda: (list, "".join)
+    rows = df.select(control.token_length(F.col("text"), 4, letters).alias("n"), control.truncated(F.col("text"), 4, letters).alias("t")).collect()
+    assert [tuple(r) for r in rows] == [(4, "abcd"), (None, None), (2, "ab")]
+    words = spark.createDataFrame([("a  b c",), ("a  b",)], "text string").select(control.truncated(F.col("text"), 2).alias("t"))
+    assert [r.t for r in words.collect()] == ["a b", "a  b"]
+
+
+def test_transforms_are_remembered_across_runs_or_made_anew_for_each_chunk(spark, sample, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def make():
+        def upper(texts):
+            seen.add(len(texts))
+            return [t.upper() for t in texts]
+
+        return upper
+
+    memo = str(tmp_path / "memo")
+    first = {r.item_no: r.options for r in control.control_set(sample, make, memo=memo).collect()}
+    assert seen.value == 5
+    more = sample.unionByName(items(spark, [(9, "i9", "math", "q", ["a", "new"], "A")]))
+    second = {r.item_no: r.options for r in control.control_set(more, make, memo=memo).collect()}
+    assert seen.value == 6 and second == first | {9: ["A", "NEW"]}
+    twice = sample.withColumn("chunk", F.lit(0).cast("long")).unionByName(sample.withColumns({"item_no": F.col("item_no") + 10, "chunk": F.lit(1).cast("long")}))
+    got = {r.item_no: r.options for r in control.control_set(twice, make, dedup=False).collect()}
+    assert seen.value == 16 and got[10] == got[0] == first[0]
+
+
 def test_packing_respects_its_rules(spark):
     rng = random.Random(5)
     lengths = [rng.randint(1, 60) for _ in range(200)] + [500]
@@ -186,7 +260,8 @@ def test_golden_report(golden):
     made = report.markdown(classifiers, [r.asDict() for r in report.table(golden).collect()])
     assert "| overall | 0.562 | 0.551 | 315499 |" in made
     assert "| treatment | 0.283 | 0.212 | 0.191 | 0.021 |" in made and "| control | stem | 0.400 | 0.313 | 0.263 | 0.050 |" in made
-    assert "No causal exploitation detected" in made
+    assert "**No causal exploitation detected** overall: treatment (0.021) is not above control (0.027)." in made
+    assert "(AUROC=0.562, near chance)" in made
     with pytest.raises(LookupError):
         report.markdown([], [])
     assert report.three(0.0625) == "0.062" and report.three(None) == "nan"
@@ -197,6 +272,9 @@ def test_missing_variants_give_nan(spark):
     assert all(math.isnan(r.gap) for r in evaluate.gaps(evaluate.accuracy(df)).collect())
     with pytest.raises(RuntimeError):
         evaluate.require_rows(df.limit(0), "test set")
+    with pytest.raises(RuntimeError, match="control$"):
+        evaluate.require_all(treatment=df, control=df.limit(0))
+    assert evaluate.empty_domains(df, ("math", "code")) == ["code"]
 
 
 def test_auroc_is_exact_with_ties(spark):

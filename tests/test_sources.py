@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quizlens.operators import control
 from quizlens.plans.items import neutral
 from quizlens.sources import files
-from quizlens.streaming.resume import ITEMS, control_stream
+from quizlens.streaming.resume import ITEMS, control_stream, until_stopped
 
 
 def test_items_are_read_by_domain_with_mixed_options(spark, tmp_path):
@@ -56,3 +56,25 @@ def test_features_reports_and_fingerprints(spark, tmp_path):
     files.write_report(spark, path, [{"grp": "g", "variant": "neutralized", "domain": None, "accuracy": 0.5}])
     assert files.read_report(spark, path, "g struct<overall:map<string,double>>").collect()[0].g.overall == {"neutralized": 0.5}
     assert files.fingerprints(spark, str(tmp_path), "report.json").collect()[0].size_bytes == len((tmp_path / "report.json").read_bytes())
+
+
+def test_a_signal_finishes_the_batch_and_stops_the_stream(spark, tmp_path):
+    import os
+    import signal
+    import threading
+    import time
+
+    src, sink, check = (str(tmp_path / n) for n in ("src", "sink", "check"))
+    rows = spark.createDataFrame([(i, f"i{i}", "stem", None, ["A"], "A") for i in range(40)], ITEMS)
+    rows.repartition(20).write.parquet(src)
+
+    def slow(df):
+        time.sleep(0.3)
+        return control.writable(neutral(df))
+
+    threading.Timer(3, os.kill, (os.getpid(), signal.SIGTERM)).start()
+    code = until_stopped(control_stream(spark, src, sink, check, slow, files_per_batch=1))
+    written = [r.item_id for r in files.read_control(spark, sink).collect()]
+    assert code == 1 and 0 < len(written) < 40 and len(set(written)) == len(written)
+    assert until_stopped(control_stream(spark, src, sink, check, lambda df: control.writable(neutral(df)))) == 0
+    assert sorted(r.item_id for r in files.read_control(spark, sink).collect()) == sorted(f"i{i}" for i in range(40))
