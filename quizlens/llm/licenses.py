@@ -4,12 +4,16 @@ Templates are normalised to words. Hashes of GRAM consecutive words are winnowed
 consecutive ones is kept, the last on ties), and an inverted index leads from a fingerprint to the templates and
 places that have it; it is built from the fixed templates, so its size is. A document is winnowed in the same
 way (grams with a word that no template has can match nothing and count as larger than all others, which keeps
-the guarantee: GRAM + WINNOW - 1 consecutive words shared with a template share a fingerprint). Hits of one template on
-near diagonals form a candidate, and the words around it are aligned with the template in a band. A candidate counts when
-matched words cover enough of the template.
+the guarantee: GRAM + WINNOW - 1 consecutive words shared with a template share a fingerprint). Hits of one template are
+chained in the order of both texts; a chain is a candidate, and the words around it are aligned with the template in a
+band as wide as the chain strays from one diagonal, and BAND words more. So words put in, left out or replaced
+move the band, not the match out of it. A candidate counts when matched words cover enough of the template.
 
-Defined results: a null or empty text has no match; where templates compete for the same words, the one with the
-larger coverage, then the longer one, then the earlier one has them; spans are code points of the original text, ends exclusive; repeated rows give a row each; an empty table gives an empty one.
+The templates are notices, and whole texts of the short licenses; licenses of many pages (GPL, LGPL, AGPL, MPL, Apache, CC) are
+known by their notices alone.
+
+Defined results: a null or empty text has no match; where templates compete for the same words, the one that
+explains most has them (matched words less missing ones, then the earlier, then by name); spans are code points of the original text, ends exclusive; repeated rows give a row each; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ GRAM = 3
 WINNOW = 2
 #: Share of a template's words that must match, in order.
 COVERAGE = 0.8
-#: Words that an alignment may stray from its diagonal, and between hits of one candidate.
+#: Words that an alignment may stray from its chain (half the template at most).
 BAND = 16
 
 # Public notices and license texts, by SPDX id.
@@ -49,10 +53,15 @@ _NOTICES = {
 _TEXTS = {
     "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
-    "BSD-2-Clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
-    "ISC": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
+    "BSD-2-Clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "BSD-3-Clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "ISC": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
     "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
-    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions.",
+    "GPL-2.0-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "AGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    "LGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution.",
 }
 TEMPLATES: list[tuple[str, str]] = [(k, v) for d in (_NOTICES, _TEXTS) for k, v in d.items()]
 
@@ -102,8 +111,38 @@ class Index:
         keep = keep[hashes[keep] != _NONE]
         return hashes[keep], keep
 
-    def candidates(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(template, first word, last word) around hits of a template on near diagonals."""
+    def stray(self, k: int) -> int:
+        return max(2, len(self.texts[k]) // 2)
+
+    def chains(self, k: int, hits: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+        """Longest chains of hits (place in the document, place in the template) that ascend in both; a step may leave
+        the diagonal by half the template at most, as a notice said again is no detour."""
+        n, stray = len(self.texts[k]), self.stray(k)
+        size, last, place, diagonal = (np.full(n, x) for x in (0, -1, -(10**9), -(10**9)))  # by template's place
+        before, extended = [-1] * len(hits), [False] * len(hits)
+        for i, (at, p) in enumerate(hits):
+            d = at - p
+            fit = (np.abs(diagonal[:p] - d) <= stray) & (place[:p] < at) & (at - place[:p] <= n + stray)
+            j = int(np.where(fit, size[:p], 0).argmax()) if p else 0
+            length = 1
+            if p and fit[j]:
+                before[i], length = int(last[j]), int(size[j]) + 1
+                extended[before[i]] = True
+            if length >= size[p] or at - place[p] > n + stray:
+                size[p], last[p], place[p], diagonal[p] = length, i, at, d
+        longest: dict[int, list[tuple[int, int]]] = {}
+        for i in range(len(hits)):
+            if not extended[i]:
+                chain, j = [], i
+                while j >= 0:
+                    chain.append(hits[j])
+                    first, j = j, before[j]
+                if len(chain) > len(longest.get(first, ())):
+                    longest[first] = chain[::-1]
+        return list(longest.values())
+
+    def candidates(self, ids: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """(template, first word, end, least and largest diagonal) of a band around chains of a template's hits."""
         hashes, places = self.fingerprints(ids)
         at = np.searchsorted(self.known, hashes)
         at[at == len(self.known)] = 0
@@ -111,42 +150,33 @@ class Index:
         by: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for i in hit:
             for k, p in self.postings[int(hashes[i])]:
-                by[k].append((int(places[i]), int(places[i]) - p))
+                by[k].append((int(places[i]), p))
         for k, hits in by.items():
-            n, groups = len(self.texts[k]), []
-            stray = min(BAND, max(2, n // 2))  # a notice said again is n words further, not a detour
-            for place, diagonal in sorted(hits):
-                for group in reversed(groups[-4:]):
-                    if abs(group[2] - diagonal) <= stray and place - group[1] <= n:
-                        group[1], group[2] = place, diagonal
-                        group[3] += 1
-                        break
-                else:
-                    groups.append([place, place, diagonal, 1, diagonal])
-            for first, last, _, count, diagonal in groups:
-                if count * (self.winnow + self.gram) >= n * COVERAGE / 3 or n <= 4 * self.gram:
-                    yield k, max(0, min(first, diagonal) - stray), min(len(ids), max(last + self.gram, diagonal + n) + stray)
-
-    def align(self, k: int, ids: np.ndarray, lo: int, hi: int) -> tuple[int, int, int] | None:
-        """Longest common subsequence of the template and words lo to hi - 1, kept within a band around the
-        best start: (matched words, first matched, last matched)."""
+            n, band = len(self.texts[k]), min(BAND, self.stray(k))
+            for chain in self.chains(k, sorted(hits)):
+                if len(chain) * (self.winnow + self.gram) >= n * COVERAGE / 3 or n <= 4 * self.gram:
+                    (first, p), (last, q) = chain[0], chain[-1]
+                    diagonals = [x - y for x, y in chain]
+                    yield k, max(0, first - p - band), min(len(ids), last + n - q + band), min(diagonals) - band, max(diagonals) + band
+
+    def align(self, k: int, ids: np.ndarray, lo: int, hi: int, least: int, most: int) -> tuple[int, int, int] | None:
+        """Longest common subsequence of the template and words lo to hi - 1, on diagonals from ``least`` to ``most``:
+        (matched words, first matched, last matched)."""
         template, part = self.texts[k], ids[lo:hi]
         n, m = len(template), len(part)
-        band = BAND + max(0, m - n)
         best = np.zeros(m + 1, np.int64)
         came = np.zeros((n + 1, m + 1), np.int8)
         for i in range(1, n + 1):
-            a, b = max(1, i - BAND), min(m, i + band)
+            a, b = max(1, i + least - lo), min(m, i + most - lo)
             if a > b:
-                break
-            diagonal = best[a - 1 : b] + (part[a - 1 : b] == template[i - 1])
+                continue
+            same = part[a - 1 : b] == template[i - 1]
+            diagonal = best[a - 1 : b] + same
             up = best[a : b + 1]
             row = np.maximum(diagonal, up)
             left = np.maximum.accumulate(np.concatenate(([best[a - 1]], row)))[1:]
-            came[i, a : b + 1] = np.where(left > row, 2, np.where((diagonal > up) & (part[a - 1 : b] == template[i - 1]), 1, 0))
-            new = best.copy()
-            new[a : b + 1] = left
-            best = new
+            came[i, a : b + 1] = np.where(left > row, 2, np.where((diagonal > up) & same, 1, 0))
+            best[a : b + 1] = left
         i, j = n, int(best.argmax())
         matched, places = int(best[j]), []
         while i and j:
@@ -167,14 +197,14 @@ class Index:
         get = self.number.get
         ids = np.array([get(w, 0) for w in raw.split()], np.int64)
         found: dict[tuple[int, int, int], int] = {}
-        for k, lo, hi in self.candidates(ids):
-            if (hit := self.align(k, ids, lo, hi)) and hit[0] >= COVERAGE * len(self.texts[k]):
+        for k, *where in self.candidates(ids):
+            if (hit := self.align(k, ids, *where)) and hit[0] >= COVERAGE * len(self.texts[k]):
                 found[k, hit[1], hit[2]] = max(hit[0], found.get((k, hit[1], hit[2]), 0))
         if not found:
             return []
         spans = [m.span() for m in _WORD.finditer(raw)]
         raw_text, taken, out = text.encode("utf-8", "surrogatepass"), [], []
-        better = lambda x: (-x[1] / len(self.texts[x[0][0]]), -len(self.texts[x[0][0]]), x[0][1], self.names[x[0][0]])
+        better = lambda x: (len(self.texts[x[0][0]]) - 2 * x[1], x[0][1], self.names[x[0][0]])
         for (k, a, b), n in sorted(found.items(), key=better):
             if all(b < x or a > y for x, y in taken):
                 taken.append((a, b))

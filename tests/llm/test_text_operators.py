@@ -327,3 +327,44 @@ def test_winnowing_keeps_its_guarantee():
         text = np.concatenate([np.zeros(5, np.int64), ids[at : at + shared], np.zeros(5, np.int64)])
         mine, _ = index.fingerprints(text)
         assert set(mine.tolist()) & set(index.fingerprints(ids)[0].tolist()), k
+
+
+def common(a, b):
+    """Length of the longest common subsequence."""
+    best = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, best[j] = best[j], max(best[j], best[j - 1], before + (x == y))
+    return best[-1]
+
+
+@pytest.mark.parametrize("name", ["MIT", "BSD-3-Clause", "ISC", "Zlib", "AGPL-3.0-or-later", "LGPL-2.1-or-later"])
+def test_edited_licenses_match_as_a_whole_alignment_does(name):
+    index = licenses.Index(licenses.TEMPLATES)
+    rng, words = random.Random(name), [f"zz{i}" for i in range(50)]
+    text = dict(licenses._TEXTS)[name].split()
+    middle = len(text) // 2
+    edits = {
+        "whole": text,
+        "forty words put in": text[:middle] + [rng.choice(words) for _ in range(40)] + text[middle:],
+        "each eighth word left out": [w for i, w in enumerate(text) if i % 8 != 7],
+        "each eighth word replaced": [w if i % 8 != 7 else "zz" for i, w in enumerate(text)],
+        "each sixth word doubled": [x for i, w in enumerate(text) for x in ([w, w] if i % 6 == 5 else [w])],
+        "first words left out": text[len(text) // 10 :],
+        "twice": text + ["zz"] * 30 + text,
+    }
+    for what, edited in edits.items():
+        around = [rng.choice(words) for _ in range(60)]
+        full = licenses.words(" ".join(around[:30] + edited + around[30:]))
+        want = common(licenses.words(" ".join(text)), full)
+        total = len(licenses.words(" ".join(text)))
+        found = [m for m in index.matches(" ".join(around[:30] + edited + around[30:])) if m[0] == name]
+        assert want >= 0.8 * total and found and max(m[1] for m in found) == want, (what, want, total, found)
+        assert len(found) == (2 if what == "twice" else 1), what
+
+
+def test_repeated_rows_and_repeated_phrases_of_licenses(spark):
+    rows = [(1, "Licensed under CC BY 4.0."), (1, "Licensed under CC BY 4.0."), (None, "Released under the MIT License."), (2, "of the Software " * 20_000)]
+    got = licenses.scan(frame(spark, rows)).collect()
+    assert sorted((repr(r.doc_id), [m.license for m in r.matches]) for r in got) == [("1", ["CC-BY-4.0"])] * 2 + [("2", []), ("None", ["MIT"])]
