@@ -258,8 +258,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius:
 
 # ---- groups of similar texts -----------------------------------------------------------------------------------
 # Texts that agree in a band of minima over their distinct shingles may be similar, whatever the kind of edit and however
-# often a line is repeated. Texts joined by such bands, directly or over others, are compared on their whole sets of
-# shingles, all with all: no text has only some partners, and the classes do not depend on any order.
+# often a line is repeated. Texts joined by such bands, directly or over others, form a candidate group. Its pivot is the text
+# that shares bands with most others, as an original does with its copies. All are compared with the pivot; those that are
+# similar are linked and need no comparison with each other. What is left is compared among itself, and with the linked ones as
+# far as their distances from the pivot allow (1 - similarity is a metric). So a hot group of copies of one text takes work
+# in proportion to its size, no text has only some partners, and the classes do not depend on any order.
 
 SIMILAR_WORDS = 5
 SIMILARITY = 0.8
@@ -382,18 +385,55 @@ def _whole(comp: DataFrame) -> DataFrame:
     return comp.unionByName(comp.select(F.col("comp").alias("node"), "comp").distinct())
 
 
+def _to_pivot(similarity: float):
+    """Each row's similarity with its group's pivot, as its role: "near", or "far" or "beyond" (too far for any near one)."""
+    reach = 1 - 2 * (1 - similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            roles = []
+            for mine, other in zip(batch["shingles"], batch["pivot_shingles"], strict=True):
+                x, y = np.frombuffer(mine.as_py(), np.int64), np.frombuffer(other.as_py(), np.int64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                total = len(x) + len(y) - shared
+                roles.append("near" if shared >= similarity * total else "far" if shared >= reach * total else "beyond")
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("same", "comp", "pivot", "n", "shingles")), pa.array(roles, pa.string())], names=["same", "comp", "pivot", "n", "shingles", "role"])
+
+    return run
+
+
+def _across(rows: DataFrame) -> DataFrame:
+    """``rows`` (with role, mine, and the numbers of chunks) for each task of far ones with near ones."""
+    far = F.col("role") == "far"
+    tasks = F.transform(F.sequence(F.lit(0), F.when(far, F.col("near_chunks")).otherwise(F.col("far_chunks")) - 1), lambda k: F.struct(F.when(far, F.col("mine")).otherwise(k).alias("i"), F.when(far, k).otherwise(F.col("mine")).alias("j"), far.cast("int").alias("side")))
+    return rows.where("near_chunks > 0 and far_chunks > 0 and role <> 'beyond'").select("comp", "same", "shingles", F.inline(tasks))
+
+
 def similar_links(texts: DataFrame, nodes: DataFrame, k: int, similarity: float) -> DataFrame:
-    """(a, b): texts (by ``same``) and the smallest of their class in a shard. ``nodes``: doc_id, same, keys."""
+    """(a, b): texts (by ``same``) and another of their class. ``nodes``: doc_id, same, keys."""
     bands = nodes.select("same", F.posexplode("keys").alias("t", "k"))
-    low = bands.groupBy("t", "k").agg(F.min("same").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
-    near = components(bands.join(low, ["t", "k"]).where("same <> low").select(F.col("same").alias("a"), F.col("low").alias("b")))
-    member = _whole(near).withColumnRenamed("node", "same").join(nodes.select("doc_id", "same"), "same")
+    low = bands.groupBy("t", "k").agg(F.min("same").alias("low"), F.count("*").alias("n")).where("n > 1")
+    shared = staged(bands.join(low, ["t", "k"]).select("same", "low", "n"), "shared")
+    near = components(shared.where("same <> low").select(F.col("same").alias("a"), F.col("low").alias("b")))
+    score = shared.groupBy("same").agg(F.sum("n").alias("score"))
+    member = staged(_whole(near).withColumnRenamed("node", "same").join(nodes.select("doc_id", "same"), "same").join(score, "same"), "members", frees=(shared,))
     found = texts.join(member, ["doc_id", "same"]).dropDuplicates(["same"]).select("same", "comp", "text")
     sets = staged(found.mapInArrow(_shingled(k), "same long, comp long, n long, shingles binary"), "shingles")
-    sizes = sets.groupBy("comp").agg(F.ceil(F.sum("n") / F.lit(COMPARE_LIMIT)).cast("int").alias("chunks"))
-    dealt = sets.join(sizes, "comp").withColumn("mine", F.pmod(F.xxhash64("same"), F.col("chunks")).cast("int"))
-    dealt = _pairs_of_chunks(dealt, "chunks", ["comp", "same", "shingles"]).select("same", "shingles", "side", F.xxhash64("comp", "i", "j").alias("shard"))
-    return dealt.repartition("shard").sortWithinPartitions("shard", "side", "same").mapInArrow(_compare(similarity), "a long, b long")
+    pivot = member.groupBy("comp").agg(F.max(F.struct("score", "same")).alias("best")).select("comp", F.col("best.same").alias("pivot"))
+    lead = staged(sets.join(pivot, "comp").where("same = pivot").select("comp", "pivot", F.col("shingles").alias("pivot_shingles")), "pivots", frees=(member,))
+    told = sets.join(lead, "comp").mapInArrow(_to_pivot(similarity), "same long, comp long, pivot long, n long, shingles binary, role string")
+    told = staged(told, "roles", frees=(sets, lead))
+    size = lambda role: F.ceil(F.sum(F.when(role, F.col("n")).otherwise(0)) / F.lit(COMPARE_LIMIT)).cast("int")
+    is_near, is_far = F.col("role") == "near", F.col("role") == "far"
+    sizes = staged(told.groupBy("comp").agg(size(is_near).alias("near_chunks"), size(is_far).alias("far_chunks"), size(~is_near).alias("rest_chunks")).where("rest_chunks > 0"), "sizes")
+    open_ = told.join(sizes, "comp")
+    chunk = lambda n: F.pmod(F.xxhash64("same"), F.greatest(F.col(n), F.lit(1))).cast("int")
+    rest = _pairs_of_chunks(open_.where(~is_near).withColumn("mine", chunk("rest_chunks")), "rest_chunks", ["comp", "same", "shingles"])
+    across = _across(open_.withColumn("mine", F.when(is_far, chunk("far_chunks")).otherwise(chunk("near_chunks"))))
+    dealt = rest.withColumn("kind", F.lit(0)).unionByName(across.withColumn("kind", F.lit(1)))
+    dealt = dealt.select("same", "shingles", "side", F.xxhash64("comp", "kind", "i", "j").alias("shard"))
+    compared = dealt.repartition("shard").sortWithinPartitions("shard", "side", "same").mapInArrow(_compare(similarity), "a long, b long")
+    return told.where(is_near & (F.col("same") != F.col("pivot"))).select(F.col("same").alias("a"), F.col("pivot").alias("b")).unionByName(compared)
 
 
 def similar_groups(docs: DataFrame, shingle_words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 from helpers import clashing, corpus, frame, prose, vocabulary
+from pyspark.sql import functions as F
 
 from quizlens.llm import simhash, substring
 
@@ -151,6 +152,38 @@ def test_one_of_a_thousand_edited_copies_stays(spark, monkeypatch, limit):
     assert not rest and {d for d in kept if d < 2000} == {0} and len(kept) == 21
 
 
+def test_copies_of_one_text_are_compared_with_it_alone(spark):
+    """A hot group's comparisons grow as its size, not as its square."""
+    rng, words = random.Random(35), vocabulary(3000)
+    tokens = prose(rng, words, 200).split(" ")
+    rows = []
+    for i in range(400):
+        copy = list(tokens)
+        for at in rng.sample(range(200), i % 3):
+            copy[at] = f"edit{i}x{at}"
+        rows.append((i, " ".join(copy)))
+    assert kept_ids(spark, rows) == {0}
+    docs = frame(spark, rows).withColumn("same", F.xxhash64("text"))
+    keys = docs.select("doc_id", "same", "text").mapInArrow(simhash._banded(5), "doc_id long, same long, keys array<long>").dropDuplicates(["same"])
+    links = simhash.similar_links(docs, keys, 5, 0.8).collect()
+    distinct = len({t for _, t in rows})
+    assert len(links) == distinct - 1 and len({r.b for r in links}) == 1
+
+
+def test_chains_of_similar_texts_are_one_group(spark):
+    """Each is similar to the next; the ends are not similar to any pivot."""
+    rng, words = random.Random(36), vocabulary(3000)
+    tokens = prose(rng, words, 300).split(" ")
+    rows = []
+    for i in range(30):
+        rows.append((i, " ".join(tokens)))
+        for at in rng.sample(range(300), 4):
+            tokens[at] = f"edit{i}x{at}"
+    sets = [shingles(t) for _, t in rows]
+    assert all(len(a & b) >= 0.8 * len(a | b) for a, b in zip(sets, sets[1:], strict=False)) and len(sets[0] & sets[-1]) < 0.3 * len(sets[0])
+    assert kept_ids(spark, rows) == {0}
+
+
 def test_added_passages_and_repeated_lines_are_found(spark):
     rng, words = random.Random(32), vocabulary(3000)
     rows = []
