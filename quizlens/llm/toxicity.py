@@ -7,8 +7,9 @@ nothing. Viterbi decoding finds the likeliest reading under the character model
 words (whole, and their beginnings) are the features of a logistic regression. The score never sees labels,
 languages, sources or ids.
 
-The regression is fitted on at most TRAIN_ROWS labelled rows (a documented bound for the classifier alone), those
-with the smallest hash of their id among the rows that may be learned from; character counts cover all documents.
+The regression is fitted on at most TRAIN_ROWS different labelled texts (a documented bound for the classifier alone), those
+with the smallest hash of their id among the rows that may be learned from, and keeps FEATURES of their features at most, those
+that speak most for class 1; character counts cover all documents.
 
 Defined results: a null or empty text has no feature and gets the intercept's score; labels that are null are not
 learned from; an id with several labels counts as toxic if one is; without two classes every score is the share of
@@ -56,6 +57,7 @@ AS_SIGN, AS_NOTHING, AS_SPACE, ONCE, TWICE, ALL = -0.7, -2.5, -3.0, -0.3, -1.2,
 _PLAIN = re.compile(r"[^\W\d_]+").fullmatch
 _LETTERS = re.compile(r"[^\W\d_]+").findall
 _TRIPLE = re.compile(r"([^\W\d_])\1\1").search
+_RUN = re.compile(r"([^\W\d_])\1\1+").sub
 _MIXED = re.compile(r"[^\W\d_][^\w\s]*[\d@$!|+€£][^\w\s]*[^\W\d_]|\d[^\W_]*[^\W\d_]|[^\W\d_]\d|(?<!\w)[@$!|€£][^\W\d_]|[^\W\d_](?:[.\-_*~/\\]{1,2}[^\W\d_]){2,}").search
 _SPACED = re.compile(r"(?<!\S)[^\s](?:[ \t]{1,3}[^\s]){3,}(?!\S)")
 
@@ -92,8 +94,9 @@ class CharModel:
         p3 = (c3 + 10 * p2) / (c3.sum(axis=2, keepdims=True) + 10)
         self.logp = np.log(p3).astype(np.float32).ravel().tolist()
 
-    def decode(self, text: str) -> str:
-        """The likeliest reading of a disguised stretch of lower-case text."""
+    @staticmethod
+    def lattice(text: str) -> list[list[tuple[tuple[int, ...], float]]]:
+        """For each run of a sign: what it may stand for (symbols of the alphabet) at which cost. Ends with a space."""
         lattice: list[list[tuple[tuple[int, ...], float]]] = []
         at = 0
         while at < len(text):
@@ -112,9 +115,13 @@ class CharModel:
                 lattice.append([((), -0.3), ((0,), -1.2)])
             at += run
         lattice.append([((0,), 0.0)])
+        return lattice
+
+    def decode(self, text: str) -> str:
+        """The likeliest reading of a disguised stretch of lower-case text."""
         states: dict[int, tuple[float, tuple]] = {0: (0.0, ())}  # the last two symbols to score and what was read
         logp = self.logp
-        for options in lattice:
+        for options in self.lattice(text):
             new: dict[int, tuple[float, tuple]] = {}
             for key, (score, path) in states.items():
                 for symbols, cost in options:
@@ -144,7 +151,8 @@ class Restorer:
 
     def token(self, token: str) -> tuple[str, ...]:
         if _PLAIN(token):
-            return (token,) if not _TRIPLE(token) else (self.model.decode(token),)
+            # the decoder knows its alphabet only; a stretched word of other letters counts as it stands, with its runs cut
+            return (token,) if not _TRIPLE(token) else (token, _RUN(r"\1", token), *self.model.decode(token).split())
         if _MIXED(token) or _TRIPLE(token):
             return (*_LETTERS(token), *self.model.decode(token).split())
         return tuple(_LETTERS(token))
@@ -326,7 +334,11 @@ def score(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, t
     known = known.where(learnable(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
     known = staged(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows), "labels")  # at most train_rows rows of two numbers
     shared = spark.sparkContext.broadcast(arrays)
-    rows = corpus.join(F.broadcast(known), "doc_id").select("label", "text").mapInArrow(_vectors(shared), "label int, ids binary").toArrow()
+    keyed = corpus.withColumn("same", F.xxhash64("text"))
+    once = keyed.select("doc_id", "same").join(F.broadcast(known), "doc_id").distinct()  # repeated rows teach once
+    once = staged(once.orderBy(F.xxhash64("doc_id"), "doc_id", "same").limit(train_rows), "texts", frees=(known,))
+    taught = keyed.join(F.broadcast(once), ["doc_id", "same"]).dropDuplicates(["doc_id", "same"])
+    rows = taught.select("label", "text").mapInArrow(_vectors(shared), "label int, ids binary").toArrow()
     known_labels, vectors = rows["label"].to_pylist(), rows["ids"].to_pylist()
     del rows
     order = sorted(range(len(vectors)), key=lambda i: (vectors[i], known_labels[i]))  # the order of tasks does not matter

@@ -258,6 +258,50 @@ def test_toxicity_is_learned_and_disguises_are_seen_through(spark, toxic):
     assert score[2003] < 0.5 and score[2004] == score[2005] < 0.5
 
 
+def test_decoding_finds_the_best_of_all_readings():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    n = len(toxicity.ALPHABET)
+    grams = rng.choice(n**3, 4_000, replace=False)
+    model = toxicity.CharModel(np.sort(grams), rng.integers(1, 50, 4_000))
+    for text in ("w0rd", "a.b c", "heeello", "1 2", "sh!t", "@aa", "x--y", "c00l zz", "r.o.t", "é8"):
+        best = (-1e18, "")
+        for reading in itertools.product(*model.lattice(text)):
+            total, key, out = 0.0, 0, []
+            for symbols, cost in reading:
+                total += cost
+                for s in symbols:
+                    if s == 0 and key % n == 0:
+                        continue
+                    total += model.logp[key * n + s]
+                    key = key % n * n + s
+                    out.append(toxicity.ALPHABET[s])
+            best = max(best, (total, "".join(out).strip()))
+        assert model.decode(text) == best[1], text
+
+
+def test_stretched_words_of_other_alphabets_keep_their_letters():
+    import numpy as np
+
+    restorer = toxicity.Restorer(toxicity.CharModel(np.array([1]), np.array([1])))
+    assert {"плохоооой", "плохой"} <= set(restorer.token("плохоооой"))
+
+
+def test_repeated_rows_teach_once(spark, toxic):
+    rows, labels = toxic
+    rows, labels = rows[:150], labels[:150]
+    ddl = "doc_id long, quality long, toxic long"
+    a, b = ({r.doc_id: r.score for r in toxicity.score(frame(spark, rows[:60]), spark.createDataFrame(labels, ddl), corpus=frame(spark, c), train_rows=100).collect()} for c in (rows, rows))
+    assert a == b
+    many = frame(spark, rows + rows[:20] * 30)
+    known = spark.createDataFrame(labels, ddl)
+    plain = toxicity.character_counts(frame(spark, rows))
+    assert plain.count() > 0 and toxicity.score(many, known).select("doc_id", "score").distinct().count() == 150
+
+
 def test_held_out_labels_and_other_columns_do_not_change_scores(spark, toxic):
     rows, labels = toxic
     rows, labels = rows[:200], labels[:200]
