@@ -2,7 +2,7 @@
 
 A payload becomes an 8-bit grey PNG, 64 samples a line, and a member of a ZIP archive (stored, as PNG is compressed). The
 data source ``archive_members`` lists archives on the driver, by size alone, and cuts them into byte ranges. A task
-reads its archive's directory, takes the members whose headers begin in its range, fetches each by its offset, and
+reads its archive's directory, takes the members whose headers begin in its range, reads each by its offset from the same stream, and
 yields batches of bounded size through Arrow. A member that fails to read or whose checksum is wrong is fetched again
 on its own, from a newly opened file; only when that fails repeatedly does the task fail, so none is dropped.
 
@@ -142,20 +142,27 @@ class MemberError(OSError):
     """A member could not be read whole in ATTEMPTS tries."""
 
 
+def read_member(f, offset: int, size: int, crc: int) -> bytes:
+    """A stored member's bytes by its header's offset; raises OSError where they are short or damaged."""
+    f.seek(offset)
+    head = f.read(30)
+    if len(head) < 30:
+        raise OSError("short")
+    f.seek(offset + 30 + sum(struct.unpack_from("<HH", head, 26)))
+    body = f.read(size)
+    if len(body) != size or zlib.crc32(body) != crc:
+        raise OSError("short or damaged")
+    return body
+
+
 def fetch(uri: str, offset: int, size: int, crc: int, attempts: int = ATTEMPTS, opener=None) -> bytes:
-    """A stored member's bytes by its header's offset, with tries of its own."""
+    """A member from a newly opened file, with tries of its own."""
     for k in range(attempts):
         try:
             system, path = at(uri)
             with (opener or system.open_input_file)(path) as f:
-                f.seek(offset)
-                head = f.read(30)
-                f.seek(offset + 30 + sum(struct.unpack_from("<HH", head, 26)))
-                body = f.read(size)
-            if len(body) == size and zlib.crc32(body) == crc:
-                return body
-            why: Exception | str = "short or damaged"
-        except (OSError, struct.error) as e:
+                return read_member(f, offset, size, crc)
+        except OSError as e:
             why = e
         time.sleep(0.05 * 2**k if k + 1 < attempts else 0)
     raise MemberError(f"{uri} at {offset}: {why}")
@@ -178,16 +185,22 @@ class _Reader(DataSourceReader):
         if not partition.uri:
             return
         system, path = at(partition.uri)
-        with system.open_input_file(path) as f, zipfile.ZipFile(f) as archive:
-            members = sorted((m for m in archive.infolist() if partition.lo <= m.header_offset < partition.hi), key=lambda m: m.header_offset)
-        rows, held = [], 0
-        for m in members:
-            doc = m.filename[9:-4]
-            rows.append((None if doc == "null" else int(doc), int(m.comment), partition.uri, m.header_offset, fetch(partition.uri, m.header_offset, m.compress_size, m.CRC)))
-            held += m.compress_size
-            if held >= self.batch_bytes:
-                yield _batch(rows)
-                rows, held = [], 0
+        with system.open_input_file(path) as f:
+            with zipfile.ZipFile(f) as archive:
+                members = sorted((m for m in archive.infolist() if partition.lo <= m.header_offset < partition.hi), key=lambda m: m.header_offset)
+            rows, held = [], 0
+            for m in members:
+                where = m.header_offset, m.compress_size, m.CRC
+                try:
+                    body = read_member(f, *where)
+                except OSError:
+                    body = fetch(partition.uri, *where)
+                doc = m.filename[9:-4]
+                rows.append((None if doc == "null" else int(doc), int(m.comment), partition.uri, m.header_offset, body))
+                held += m.compress_size
+                if held >= self.batch_bytes:
+                    yield _batch(rows)
+                    rows, held = [], 0
         if rows:
             yield _batch(rows)
 

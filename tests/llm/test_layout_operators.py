@@ -320,6 +320,28 @@ def test_members_are_retried_on_their_own(tmp_path):
         media.fetch(f"file://{path}", info.header_offset, info.compress_size, info.CRC ^ 1, attempts=2)
 
 
+def test_a_range_reads_its_members_from_one_stream(tmp_path, monkeypatch):
+    from pyarrow import fs
+
+    path = tmp_path / "a.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for i in range(20):
+            info = zipfile.ZipInfo(f"{i:08d}-{i}.png")
+            info.comment = b"7"
+            z.writestr(info, f"member {i}".encode() * 50)
+    opened = []
+
+    class Counting(fs.LocalFileSystem):
+        def open_input_file(self, name):
+            opened.append(name)
+            return super().open_input_file(name)
+
+    monkeypatch.setattr(media, "at", lambda uri: (Counting(), str(path)))
+    reader = media._Reader({"path": str(tmp_path)})
+    rows = [r for b in reader.read(media._Range(f"file://{path}", 0, path.stat().st_size)) for r in b.to_pylist()]
+    assert [r["media"] for r in rows] == [f"member {i}".encode() * 50 for i in range(20)] and len(opened) == 1
+
+
 def test_damaged_media_are_refused():
     form = media.png(media.payload("text"))
     assert media.samples(form) == media.payload("text")
