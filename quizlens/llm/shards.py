@@ -107,18 +107,19 @@ def _before(per_part: DataFrame, value: str) -> DataFrame:
 def shard(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERHEAD, bins: int = BINS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, shard, slot: sizes of shards as equal as whole groups in order allow."""
     base = narrow(docs, id_col, text_col).select("doc_id", (F.octet_length("text") + F.lit(overhead)).cast("long").alias("size"), unsigned_crc32("text").alias("text_crc32"), F.unhex(F.sha2("text", 256)).alias("same"))
-    rows = staged(staged(base, "sizes").repartitionByRange("doc_id").withColumn("pid", F.spark_partition_id()), "ranges")
+    sizes = staged(base, "sizes")
+    rows = staged(sizes.repartitionByRange("doc_id", "text_crc32").withColumn("pid", F.spark_partition_id()), "ranges", frees=(sizes,))
     groups = rows.groupBy("same").agg(F.sum("size").alias("size"), F.min("pid").alias("pid"), F.min("doc_id").alias("head"))
     groups = groups.withColumn("within", F.sum("size").over(Window.partitionBy("pid").orderBy("head", "same")))
     groups = staged(groups, "groups")
     before = _before(groups.groupBy("pid").agg(F.sum("size").alias("size")), "size")
-    sums = staged(groups.join(before, "pid").select("same", (F.col("before") + F.col("within")).alias("end")), "sums")
+    sums = staged(groups.join(before, "pid").select("same", (F.col("before") + F.col("within")).alias("end")), "sums", frees=(groups,))
     total = sums.agg(F.max("end")).first()[0]
     cuts = minimax_cuts(sums, total, shards, bins)[1] if total else []
     number = F.lit(0)
     for end in cuts[:-1]:
         number = number + (F.col("end") > end).cast("int")
-    placed = staged(rows.join(sums.select("same", number.alias("shard")), "same").drop("same"), "placed")
+    placed = staged(rows.join(sums.select("same", number.alias("shard")), "same").drop("same"), "placed", frees=(rows, sums))
     counts = placed.groupBy("shard", "pid").agg(F.count("*").alias("n"))
     earlier = counts.select("shard", "pid", (F.sum("n").over(Window.partitionBy("shard").orderBy("pid")) - F.col("n")).alias("earlier"))
     ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy("shard", "pid").orderBy("doc_id", "text_crc32")) - 1)
