@@ -18,6 +18,7 @@ class 1; repeated rows get a row each, with equal scores for equal texts; an emp
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 import zlib
@@ -272,15 +273,19 @@ def fit(labels: np.ndarray, rows: list[np.ndarray], keep: int = FEATURES, rounds
     if not len(labels) or share in (0.0, 1.0):
         return Classifier({}, {}, prior, (0.0, 1.0, 0.0))
     y = labels.astype(np.float32)
+    # counts by the low bits first, so that only features of promising buckets are held side by side and counted exactly
+    low = np.uint32((1 << BUCKET_BITS) - 1)
+    n1 = np.zeros(1 << BUCKET_BITS, np.int32)
+    for r, one in zip(rows, labels, strict=True):
+        if one:
+            np.add.at(n1, r & low, 1)
+    promising = n1 >= 2
+    del n1
+    rows = [r[promising[r & low]] for r in rows]
     flat = np.concatenate(rows)
     of = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
-    # counts by the low bits first, so that only features of promising buckets are counted exactly
-    low = flat & np.uint32((1 << BUCKET_BITS) - 1)
-    n1 = np.bincount(low[y[of] > 0], minlength=1 << BUCKET_BITS)
-    promising = (n1 >= 2)[low]
-    del low, n1
-    flat, of = flat[promising], of[promising]
-    ids, flat = np.unique(flat, return_inverse=True)
+    ids = np.unique(flat)
+    flat = np.searchsorted(ids, flat).astype(np.int32)
     n1, n = np.bincount(flat, y[of], len(ids)), np.bincount(flat, minlength=len(ids)).astype(float)
     z = np.where(n >= 4, (n1 - n * share) / np.sqrt(n * share * (1 - share) + 1e-9), 0)
     top = np.argsort(-z, kind="stable")[:keep]
@@ -344,6 +349,7 @@ def score(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, t
     order = sorted(range(len(vectors)), key=lambda i: (vectors[i], known_labels[i]))  # the order of tasks does not matter
     model = fit(np.array([known_labels[i] for i in order], np.int64), [np.frombuffer(vectors[i], np.uint32) for i in order])
     del vectors
+    gc.collect()
     ready = spark.sparkContext.broadcast((arrays, model))
     given = narrow(docs, id_col, text_col, carry)
     return given.mapInArrow(_scorer(ready), extended(given, "doc_id long, score double"))
