@@ -18,7 +18,6 @@ class 1; repeated rows get a row each, with equal scores for equal texts; an emp
 
 from __future__ import annotations
 
-import gc
 import math
 import re
 import zlib
@@ -30,13 +29,11 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, extended, narrow, staged, workspace
+from .common import carried, extended, free, narrow, staged, workspace
 
 TRAIN_ROWS = 12_000
 #: Weighted features kept by the classifier.
 FEATURES = 20_000
-#: Bits of a feature's hash for the first count.
-BUCKET_BITS = 22
 REMEMBERED = 150_000
 #: Logit from which on a single feature decides.
 EVIDENT = math.log(0.9 / 0.1)
@@ -264,39 +261,45 @@ class Classifier:
 _LEAST = math.log(1e-3 / (1 - 1e-3))
 
 
-def fit(labels: np.ndarray, rows: list[np.ndarray], keep: int = FEATURES, rounds: int = 150) -> Classifier:
-    """Logistic regression with an L2 penalty on the features that speak most for class 1, then a second one
-    on its result and on the strongest single feature, which lets one telling word in a long text count. A document's
-    own label is left out of the strength of its features."""
+def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """feature, n1, n: rows of class 1 and all rows that have it, added up for a batch."""
+    for batch in batches:
+        rows = [np.frombuffer(x, np.uint32) for x in batch["ids"].to_pylist()]
+        ids, where = np.unique(np.concatenate(rows) if rows else np.zeros(0, np.uint32), return_inverse=True)
+        ones = np.repeat(batch["label"].to_numpy(zero_copy_only=False), [len(r) for r in rows])
+        n1 = np.bincount(where, ones, len(ids)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(n1), pa.array(np.bincount(where, minlength=len(ids)))], names=["feature", "n1", "n"])
+
+
+def telling_features(vectors: DataFrame, share: float, keep: int = FEATURES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features that speak for class 1, at most ``keep`` of them by strength, sorted; how many rows of class 1 and of all have each."""
+    counts = vectors.mapInArrow(_feature_counts, "feature long, n1 long, n long").groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n").alias("n")).where("n1 >= 2 and n >= 4")
+    z = (F.col("n1") - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share)) + 1e-9)
+    top = counts.withColumn("z", z).where("z > 2").orderBy(F.desc("z"), "feature").limit(keep).toArrow().sort_by("feature")
+    return tuple(top[c].to_numpy() for c in ("feature", "n1", "n"))
+
+
+def _kept(shared: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = shared.value
+        for batch in batches:
+            rows = [x[np.isin(x, wanted)].tobytes() for x in (np.frombuffer(r, np.uint32) for r in batch["ids"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch["label"], pa.array(rows, pa.binary())], names=["label", "ids"])
+
+    return run
+
+
+def fit(labels: np.ndarray, rows: list[np.ndarray], ids: np.ndarray, n1: np.ndarray, n: np.ndarray, rounds: int = 150) -> Classifier:
+    """Logistic regression with an L2 penalty on the features ``ids`` (sorted; n1 rows of class 1 and n rows have them), then a
+    second one on its result and on the strongest single feature, which lets one telling word in a long text count. A document's
+    own label is left out of the strength of its features. ``rows`` hold features of ``ids`` only."""
     share = float(labels.mean()) if len(labels) else 0.0
     prior = math.log((share * len(labels) + 0.5) / ((1 - share) * len(labels) + 0.5))
     if not len(labels) or share in (0.0, 1.0):
         return Classifier({}, {}, prior, (0.0, 1.0, 0.0))
-    y = labels.astype(np.float32)
-    # counts by the low bits first, so that only features of promising buckets are held side by side and counted exactly
-    low = np.uint32((1 << BUCKET_BITS) - 1)
-    n1 = np.zeros(1 << BUCKET_BITS, np.int32)
-    for r, one in zip(rows, labels, strict=True):
-        if one:
-            np.add.at(n1, r & low, 1)
-    promising = n1 >= 2
-    del n1
-    rows = [r[promising[r & low]] for r in rows]
-    flat = np.concatenate(rows)
+    y, k = labels.astype(np.float64), len(ids)
     of = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
-    ids = np.unique(flat)
-    flat = np.searchsorted(ids, flat).astype(np.int32)
-    n1, n = np.bincount(flat, y[of], len(ids)), np.bincount(flat, minlength=len(ids)).astype(float)
-    z = np.where(n >= 4, (n1 - n * share) / np.sqrt(n * share * (1 - share) + 1e-9), 0)
-    top = np.argsort(-z, kind="stable")[:keep]
-    top = top[z[top] > 2]
-    index = np.full(len(ids), -1, np.int32)
-    index[top] = np.arange(len(top))
-    mine = index[flat]
-    of, mine = of[mine >= 0], mine[mine >= 0]
-    n1, n, top = n1[top], n[top], ids[top]
-    del flat, index
-    k = len(top)
+    mine = np.searchsorted(ids, np.concatenate(rows).astype(np.int64)).astype(np.int32)
 
     def first(wb: np.ndarray) -> np.ndarray:
         err = _sigmoid(np.bincount(of, wb[mine], len(rows)) + wb[k]) - y
@@ -308,8 +311,7 @@ def fit(labels: np.ndarray, rows: list[np.ndarray], keep: int = FEATURES, rounds
     np.maximum.at(best, of, _floor(n1[mine] - y[of], n[mine] - 1, share))
     x = np.stack([np.ones(len(rows)), linear, best], axis=1)
     stage = _adam(lambda c: x.T @ (_sigmoid(x @ c) - y) / len(rows) + np.array([0, 1e-3, 1e-3]) * c, 3, 600, np.array([prior, 0.1, 0.1]))
-    logits = _floor(n1, n, share)
-    return Classifier(dict(zip(top.tolist(), wb[:k].tolist(), strict=True)), dict(zip(top.tolist(), logits.tolist(), strict=True)), float(wb[k]), tuple(stage.tolist()))
+    return Classifier(dict(zip(ids.tolist(), wb[:k].tolist(), strict=True)), dict(zip(ids.tolist(), _floor(n1, n, share).tolist(), strict=True)), float(wb[k]), tuple(stage.tolist()))
 
 
 def _scorer(shared: Broadcast):
@@ -343,13 +345,13 @@ def score(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, t
     once = keyed.select("doc_id", "same").join(F.broadcast(known), "doc_id").distinct()  # repeated rows teach once
     once = staged(once.orderBy(F.xxhash64("doc_id"), "doc_id", "same").limit(train_rows), "texts", frees=(known,))
     taught = keyed.join(F.broadcast(once), ["doc_id", "same"]).dropDuplicates(["doc_id", "same"])
-    rows = taught.select("label", "text").mapInArrow(_vectors(shared), "label int, ids binary").toArrow()
-    known_labels, vectors = rows["label"].to_pylist(), rows["ids"].to_pylist()
-    del rows
-    order = sorted(range(len(vectors)), key=lambda i: (vectors[i], known_labels[i]))  # the order of tasks does not matter
-    model = fit(np.array([known_labels[i] for i in order], np.int64), [np.frombuffer(vectors[i], np.uint32) for i in order])
-    del vectors
-    gc.collect()
+    vectors = staged(taught.select("label", "text").mapInArrow(_vectors(shared), "label int, ids binary"), "vectors", frees=(once,))
+    total = vectors.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("ones")).first()
+    ids, n1, n = telling_features(vectors, total["ones"] / max(1, total["n"]))
+    rows = vectors.mapInArrow(_kept(spark.sparkContext.broadcast(ids.astype(np.uint32))), "label int, ids binary").toArrow()  # at most train_rows rows of telling features
+    free(vectors)
+    found = sorted(zip(rows["ids"].to_pylist(), rows["label"].to_pylist(), strict=True))  # the order of tasks does not matter
+    model = fit(np.array([y for _, y in found], np.int64), [np.frombuffer(r, np.uint32) for r, _ in found], ids, n1, n)
     ready = spark.sparkContext.broadcast((arrays, model))
     given = narrow(docs, id_col, text_col, carry)
     return given.mapInArrow(_scorer(ready), extended(given, "doc_id long, score double"))
