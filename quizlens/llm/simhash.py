@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow, staged
+from .common import free, narrow, staged
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -232,7 +232,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
         small = small.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        edges = staged(small.where("a <> b").distinct(), "stars")
+        edges = staged(small.where("a <> b").distinct(), "stars", frees=(edges, large))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == seen:
             break
@@ -247,12 +247,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius:
     linked = staged(links(names.select("fp"), radius), "pairs")
     # classes are found over fingerprints; a class then takes its smallest document
     comp = components(linked)
+    free(linked)
     member = comp.withColumnRenamed("node", "fp")
     member = member.unionByName(member.select(F.col("comp").alias("fp"), "comp").distinct())
     member = member.join(names, "fp")
     smallest = member.groupBy("comp").agg(F.min("own").alias("component_id"))
     moved = member.join(smallest, "comp").select("fp", "component_id")
-    named = staged(names.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "own").alias("component_id")), "classes")
+    named = staged(names.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "own").alias("component_id")), "classes", frees=(names,))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -409,8 +410,9 @@ def _across(rows: DataFrame) -> DataFrame:
     return rows.where("near_chunks > 0 and far_chunks > 0 and role <> 'beyond'").select("comp", "same", "shingles", F.inline(tasks))
 
 
-def similar_links(texts: DataFrame, nodes: DataFrame, k: int, similarity: float) -> DataFrame:
-    """(a, b): texts (by ``same``) and another of their class. ``nodes``: doc_id, same, keys."""
+def similar_links(texts: DataFrame, nodes: DataFrame, k: int, similarity: float) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """(a, b): texts (by ``same``) and another of their class; and the staged tables that these rows are read from.
+    ``nodes``: doc_id, same, keys."""
     bands = nodes.select("same", F.posexplode("keys").alias("t", "k"))
     low = bands.groupBy("t", "k").agg(F.min("same").alias("low"), F.count("*").alias("n")).where("n > 1")
     shared = staged(bands.join(low, ["t", "k"]).select("same", "low", "n"), "shared")
@@ -433,7 +435,7 @@ def similar_links(texts: DataFrame, nodes: DataFrame, k: int, similarity: float)
     dealt = rest.withColumn("kind", F.lit(0)).unionByName(across.withColumn("kind", F.lit(1)))
     dealt = dealt.select("same", "shingles", "side", F.xxhash64("comp", "kind", "i", "j").alias("shard"))
     compared = dealt.repartition("shard").sortWithinPartitions("shard", "side", "same").mapInArrow(_compare(similarity), "a long, b long")
-    return told.where(is_near & (F.col("same") != F.col("pivot"))).select(F.col("same").alias("a"), F.col("pivot").alias("b")).unionByName(compared)
+    return told.where(is_near & (F.col("same") != F.col("pivot"))).select(F.col("same").alias("a"), F.col("pivot").alias("b")).unionByName(compared), (told, sizes)
 
 
 def similar_groups(docs: DataFrame, shingle_words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -446,9 +448,11 @@ def similar_groups(docs: DataFrame, shingle_words: int = SIMILAR_WORDS, similari
     made = staged(texts.select("doc_id", "same", "text").mapInArrow(_banded(shingle_words), "doc_id long, same long, keys array<long>"), "bands")
     first = made.groupBy("same").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id")).alias("first"), F.first("keys").alias("keys"))
     first = staged(first.select("same", "first.doc_id", "keys"), "firsts")
-    links = similar_links(texts, first.where("doc_id is not null"), shingle_words, similarity)
-    member = _whole(components(links)).withColumnRenamed("node", "same").join(first.select("same", "doc_id"), "same")
+    links, used = similar_links(texts, first.where("doc_id is not null"), shingle_words, similarity)
+    comp = components(links)
+    free(*used)
+    member = _whole(comp).withColumnRenamed("node", "same").join(first.select("same", "doc_id"), "same")
     best = member.groupBy("comp").agg(F.min(F.struct("doc_id", "same")).alias("best"))
     lost = member.join(best, "comp").where("same <> best.same").select("same", F.lit(True).alias("moved"))
-    kept = staged(first.select("same", F.col("doc_id").alias("first_id")).join(lost, "same", "left").select("same", "first_id", F.col("moved").isNull().alias("stays")), "kept")
+    kept = staged(first.select("same", F.col("doc_id").alias("first_id")).join(lost, "same", "left").select("same", "first_id", F.col("moved").isNull().alias("stays")), "kept", frees=(first,))
     return made.select("doc_id", "same").join(kept, "same").select("doc_id", "same", (F.col("stays") & F.col("doc_id").eqNullSafe(F.col("first_id"))).alias("keep"))

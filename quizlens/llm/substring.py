@@ -378,9 +378,9 @@ def _split(single: DataFrame, window: int) -> DataFrame:
     return hit.groupBy("fp", "content", "owner").agg(F.collect_list("span").alias("spans"))  # a region's own windows
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, shard_words: int = SHARD_WORDS, hot: int = HOT_REGIONS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, shard_words: int = SHARD_WORDS, hot: int = HOT_REGIONS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, tuple[DataFrame, ...]]:
     """A row for each document (doc_id, same, n_words, words_sha256), and a row for each that loses words: doc_id, same (hash
-    of its text), spans (stretches of removed words a to b - 1), text."""
+    of its text), spans (stretches of removed words a to b - 1), text; and the staged tables that the latter are read from."""
     texts = narrow(docs, id_col, text_col).withColumn("same", F.xxhash64("text"))
     scanned = staged(texts.select("doc_id", "same", "text").mapInArrow(_scan(window, anchor), _SCAN), "scan")
     anchors = scanned.where("doc_id is not null").select("doc_id", "same", F.inline(F.arrays_zip("fp", "content", "more", "firsts")))
@@ -408,12 +408,12 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, shard_w
     placed = losing.select("doc_id", "same", F.explode("firsts").alias("first"), F.when(F.col("doc_id") > F.col("owner"), every).otherwise(F.col("spans")).alias("spans"))
     ranges = placed.select("doc_id", "same", "first", F.inline("spans")).select("doc_id", "same", F.struct((F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b")).alias("span"))
     spans = ranges.groupBy("doc_id", "same").agg(F.array_sort(F.collect_list("span")).alias("spans"))  # a document's own stretches
-    return scanned.select("doc_id", "same", "n_words", "words_sha256"), candidates.select("doc_id", "same", "text").join(spans, ["doc_id", "same"])
+    return scanned.select("doc_id", "same", "n_words", "words_sha256"), candidates.select("doc_id", "same", "text").join(spans, ["doc_id", "same"]), (hits, known, candidates)
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept (the words left, joined by a space; null where nothing goes)."""
-    scanned, losing = repeats(docs, **options)
+    scanned, losing, used = repeats(docs, **options)
     changed = losing.select("doc_id", "same", "text", "spans").mapInArrow(_remove, "doc_id long, same long, n_removed long, kept_sha256 string, kept string")
-    changed = staged(changed, "changed")
+    changed = staged(changed, "changed", frees=used)
     return scanned.join(changed, ["doc_id", "same"], "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept_sha256", "words_sha256").alias("kept_sha256"), "kept")

@@ -62,6 +62,22 @@ def test_no_documents(spark):
     assert simhash.similar_groups(frame(spark, [])).count() == 0
 
 
+def test_staged_tables_go_when_nothing_reads_them(spark):
+    import os
+
+    from quizlens.llm import common
+
+    root = common.scratch(spark, "x").rpartition("/")[0].removeprefix("file:")
+    os.makedirs(root, exist_ok=True)
+    before = set(os.listdir(root))
+    got = simhash.near_duplicates(frame(spark, corpus()))
+    left = sorted(n.split("-")[0] for n in set(os.listdir(root)) - before)
+    assert left == ["classes", "simhash", "stars"] and got.count() > 0  # the last round of stars alone
+    before = set(os.listdir(root))
+    got = substring.deduplicate(frame(spark, corpus()))
+    assert {n.split("-")[0] for n in set(os.listdir(root)) - before} == {"scan", "changed"} and got.count() > 0
+
+
 def test_trees_find_all_within_the_radius():
     rng = random.Random(1)
     codes = [rng.getrandbits(64) for _ in range(50)]
@@ -165,7 +181,7 @@ def test_copies_of_one_text_are_compared_with_it_alone(spark):
     assert kept_ids(spark, rows) == {0}
     docs = frame(spark, rows).withColumn("same", F.xxhash64("text"))
     keys = docs.select("doc_id", "same", "text").mapInArrow(simhash._banded(5), "doc_id long, same long, keys array<long>").dropDuplicates(["same"])
-    links = simhash.similar_links(docs, keys, 5, 0.8).collect()
+    links = simhash.similar_links(docs, keys, 5, 0.8)[0].collect()
     distinct = len({t for _, t in rows})
     assert len(links) == distinct - 1 and len({r.b for r in links}) == 1
 
