@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import narrow, scratch, staged
+from .common import narrow, released, scratch, staged
 from .store import at, write_whole
 
 LINE = 64
@@ -100,6 +100,7 @@ _ARCHIVES = "uri string, members long, n_bytes long"
 
 def _writer(folder: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         pid, seg, count, held = TaskContext.get().partitionId(), 0, 0, io.BytesIO()
         archive = zipfile.ZipFile(held, "w", zipfile.ZIP_STORED)
 
@@ -235,6 +236,7 @@ _FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 strin
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    released()
     for batch in batches:
         rows = []
         for media in batch["media"]:

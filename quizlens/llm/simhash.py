@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free, narrow, staged
+from .common import free, narrow, released, staged
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -63,6 +63,7 @@ def fingerprint(text: str, k: int = SHINGLE_WORDS) -> int:
 
 def _fingerprints(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         for batch in batches:
             prints = np.array([fingerprint(t, k) for t in batch["text"].to_pylist()], np.uint64)
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "fp": pa.array(prints.view(np.int64), pa.int64())})
@@ -301,6 +302,7 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 def _banded(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         for batch in batches:
             keys = [band_keys(shingle_hashes(t.as_py(), k)) for t in batch["text"]]
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64), pa.int64())
@@ -312,6 +314,7 @@ def _banded(k: int):
 
 def _shingled(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         for batch in batches:
             sets = [shingle_hashes(t.as_py(), k) for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["same"], batch["comp"], pa.array(map(len, sets), pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["same", "comp", "n", "shingles"])
