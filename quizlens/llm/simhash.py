@@ -259,12 +259,15 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius:
 
 
 # ---- groups of similar texts -----------------------------------------------------------------------------------
-# Texts that agree in a band of minima over their distinct shingles may be similar, whatever the kind of edit and however
-# often a line is repeated. Texts joined by such bands, directly or over others, form a candidate group. Its pivot is the text
-# that shares bands with most others, as an original does with its copies. All are compared with the pivot; those that are
-# similar are linked and need no comparison with each other. What is left is compared among itself, and with the linked ones as
-# far as their distances from the pivot allow (1 - similarity is a metric). So a hot group of copies of one text takes work
-# in proportion to its size, no text has only some partners, and the classes do not depend on any order.
+# The classes of near_duplicates come first: each is a candidate group, whose texts are compared on whole sets of shingles, as
+# a fingerprint may be that of a run which different texts share. Copies may also lie beyond the radius. Texts that agree in a
+# band of minima over their distinct shingles may be similar, whatever the kind of edit and however often a line is repeated.
+# Texts joined by such bands, directly or over others, form a candidate group, too; it is compared unless the classes have
+# made one class of it already. A group's pivot is the text that shares bands with most others, as an original does with its
+# copies. All are compared with the pivot; those that are similar are linked and need no comparison with each other. What is
+# left is compared among itself, and with the linked ones as far as their distances from the pivot allow (1 - similarity is a
+# metric). So a hot group of copies of one text takes work in proportion to its size, no text has only some partners, and the
+# classes do not depend on any order.
 
 SIMILAR_WORDS = 5
 SIMILARITY = 0.8
@@ -313,11 +316,14 @@ def _banded(k: int):
 
 
 def _shingled(k: int):
+    """Each text's set of shingles and its size, in place of the text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         released()
         for batch in batches:
             sets = [shingle_hashes(t.as_py(), k) for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays([batch["same"], batch["comp"], pa.array(map(len, sets), pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["same", "comp", "n", "shingles"])
+            names = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(map(len, sets), pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=[*names, "n", "shingles"])
 
     return run
 
@@ -413,21 +419,18 @@ def _across(rows: DataFrame) -> DataFrame:
     return rows.where("near_chunks > 0 and far_chunks > 0 and role <> 'beyond'").select("comp", "same", "shingles", F.inline(tasks))
 
 
-def similar_links(texts: DataFrame, nodes: DataFrame, k: int, similarity: float) -> tuple[DataFrame, tuple[DataFrame, ...]]:
-    """(a, b): texts (by ``same``) and another of their class; and the staged tables that these rows are read from.
-    ``nodes``: doc_id, same, keys."""
-    bands = nodes.select("same", F.posexplode("keys").alias("t", "k"))
-    low = bands.groupBy("t", "k").agg(F.min("same").alias("low"), F.count("*").alias("n")).where("n > 1")
-    shared = staged(bands.join(low, ["t", "k"]).select("same", "low", "n"), "shared")
-    near = components(shared.where("same <> low").select(F.col("same").alias("a"), F.col("low").alias("b")))
-    score = shared.groupBy("same").agg(F.sum("n").alias("score"))
-    member = staged(_whole(near).withColumnRenamed("node", "same").join(nodes.select("doc_id", "same"), "same").join(score, "same"), "members", frees=(shared,))
-    found = texts.join(member, ["doc_id", "same"]).dropDuplicates(["same"]).select("same", "comp", "text")
-    sets = staged(found.mapInArrow(_shingled(k), "same long, comp long, n long, shingles binary"), "shingles")
-    pivot = member.groupBy("comp").agg(F.max(F.struct("score", "same")).alias("best")).select("comp", F.col("best.same").alias("pivot"))
-    lead = staged(sets.join(pivot, "comp").where("same = pivot").select("comp", "pivot", F.col("shingles").alias("pivot_shingles")), "pivots", frees=(member,))
+def _led(member: DataFrame, comp: str, pivot: str) -> DataFrame:
+    """doc_id, same, and the candidate group and its pivot, named ``comp`` and ``pivot``, of texts with a score each."""
+    best = member.groupBy("comp").agg(F.max(F.struct("score", "same")).alias("best")).select("comp", F.col("best.same").alias(pivot))
+    return member.join(best, "comp").select("doc_id", "same", F.col("comp").alias(comp), pivot)
+
+
+def _checked(sets: DataFrame, similarity: float, frees: tuple[DataFrame, ...] = ()) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """(a, b): texts (by ``same``) and another of their class, by comparisons in their candidate groups (``comp``); and the
+    staged tables that these rows are read from."""
+    lead = staged(sets.where("same = pivot").select("comp", F.col("shingles").alias("pivot_shingles")), "pivots")
     told = sets.join(lead, "comp").mapInArrow(_to_pivot(similarity), "same long, comp long, pivot long, n long, shingles binary, role string")
-    told = staged(told, "roles", frees=(sets, lead))
+    told = staged(told, "roles", frees=(lead, *frees))
     size = lambda role: F.ceil(F.sum(F.when(role, F.col("n")).otherwise(0)) / F.lit(COMPARE_LIMIT)).cast("int")
     is_near, is_far = F.col("role") == "near", F.col("role") == "far"
     sizes = staged(told.groupBy("comp").agg(size(is_near).alias("near_chunks"), size(is_far).alias("far_chunks"), size(~is_near).alias("rest_chunks")).where("rest_chunks > 0"), "sizes")
@@ -441,8 +444,37 @@ def similar_links(texts: DataFrame, nodes: DataFrame, k: int, similarity: float)
     return told.where(is_near & (F.col("same") != F.col("pivot"))).select(F.col("same").alias("a"), F.col("pivot").alias("b")).unionByName(compared), (told, sizes)
 
 
+def similar_links(texts: DataFrame, nodes: DataFrame, k: int, similarity: float, alike: DataFrame | None = None) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """(a, b): texts (by ``same``) and another of their class; and the staged tables that these rows are read from.
+    ``nodes``: doc_id, same, keys. ``alike``: same, comp: candidate groups that are compared before those of bands."""
+    if alike is None:
+        alike = nodes.select("same", F.col("same").alias("comp")).where("false")
+    # a key of two bands is chance, and only adds a comparison
+    bands = nodes.select("same", F.explode("keys").alias("k"))
+    low = bands.groupBy("k").agg(F.min("same").alias("low"), F.count("*").alias("n")).where("n > 1")
+    shared = staged(bands.join(low, "k").select("same", "low", "n"), "shared")
+    banded = _whole(components(shared.where("same <> low").select(F.col("same").alias("a"), F.col("low").alias("b")))).withColumnRenamed("node", "same")
+    named, score = nodes.select("doc_id", "same"), shared.groupBy("same").agg(F.sum("n").alias("score"))
+    alike = alike.join(alike.groupBy("comp").count().where("count > 1").select("comp"), "comp")
+    alike = alike.join(named, "same").join(score, "same", "left").fillna(0, "score")
+    member = _led(banded.join(named, "same").join(score, "same"), "comp", "pivot").join(_led(alike, "near", "near_pivot"), ["doc_id", "same"], "full")
+    member = staged(member, "members", frees=(shared,))
+    found = texts.join(member, ["doc_id", "same"]).dropDuplicates(["same"]).select("same", "comp", "pivot", "near", "near_pivot", "text")
+    sets = staged(found.mapInArrow(_shingled(k), "same long, comp long, pivot long, near long, near_pivot long, n long, shingles binary"), "shingles")
+    first = sets.where("near is not null").select("same", F.col("near").alias("comp"), F.col("near_pivot").alias("pivot"), "n", "shingles")
+    first, used = _checked(first, similarity)
+    known = components(first)
+    free(*used)
+    own = member.where("comp is not null").join(_whole(known).select(F.col("node").alias("same"), F.col("comp").alias("known")), "same", "left")
+    own = own.select("comp", F.coalesce("known", "same").alias("known"))
+    several = staged(own.groupBy("comp").agg(F.min("known").alias("lo"), F.max("known").alias("hi")).where("lo <> hi").select("comp"), "several", frees=(member,))
+    more, used = _checked(sets.join(several, "comp").select("same", "comp", "pivot", "n", "shingles"), similarity, frees=(sets, several))
+    return known.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more), used
+
+
 def similar_groups(docs: DataFrame, shingle_words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, same (hash of the text), keep: true for one row of each group of similar texts, the smallest id's.
+    """doc_id, same (hash of the text), keep: true for one row of each group of similar texts, the smallest id's. Groups are
+    found by ``near_duplicates``, and by bands what lies beyond its radius; whole sets of shingles decide.
 
     Rows of equal text are one group whatever their ids; rows without an id join no others. Ties of one id go to
     the smaller ``same``; rows equal in both are for the caller to drop.
@@ -451,7 +483,8 @@ def similar_groups(docs: DataFrame, shingle_words: int = SIMILAR_WORDS, similari
     made = staged(texts.select("doc_id", "same", "text").mapInArrow(_banded(shingle_words), "doc_id long, same long, keys array<long>"), "bands")
     first = made.groupBy("same").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id")).alias("first"), F.first("keys").alias("keys"))
     first = staged(first.select("same", "first.doc_id", "keys"), "firsts")
-    links, used = similar_links(texts, first.where("doc_id is not null"), shingle_words, similarity)
+    near = near_duplicates(texts, id_col="same").select(F.col("doc_id").alias("same"), F.col("component_id").alias("comp")).distinct()
+    links, used = similar_links(texts, first.where("doc_id is not null"), shingle_words, similarity, near)
     comp = components(links)
     free(*used)
     member = _whole(comp).withColumnRenamed("node", "same").join(first.select("same", "doc_id"), "same")

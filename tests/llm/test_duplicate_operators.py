@@ -186,6 +186,22 @@ def test_copies_of_one_text_are_compared_with_it_alone(spark):
     assert len(links) == distinct - 1 and len({r.b for r in links}) == 1
 
 
+def test_copies_in_one_class_are_not_compared_again(spark):
+    """Bands only lead to comparisons where the classes of fingerprints have left something open."""
+    rng, words = random.Random(37), vocabulary(3000)
+    base = [prose(rng, words, 300) for _ in range(6)]
+    rows = [(10 * i + k, t + f" more{k}" * (k > 0)) for i, t in enumerate(base) for k in range(4)]
+    rows += [(100, base[0] + " " + prose(rng, words, 60))]
+    docs = frame(spark, rows).withColumn("same", F.xxhash64("text"))
+    keys = docs.select("doc_id", "same", "text").mapInArrow(simhash._banded(5), "doc_id long, same long, keys array<long>")
+    alike = docs.select("same", F.floor(F.col("doc_id") / 10).alias("comp"))
+    own = {r.same: r.doc_id for r in docs.collect()}
+    links, (told, _) = simhash.similar_links(docs, keys, 5, 0.8, alike)
+    assert {own[r.same] for r in told.collect()} == {0, 1, 2, 3, 100}  # only that group was compared by bands
+    assert {own[x] // 10 for r in links.collect() for x in (r.a, r.b)} == {0, 1, 2, 3, 4, 5, 10}
+    assert kept_ids(spark, rows) == {0, 10, 20, 30, 40, 50}
+
+
 def test_chains_of_similar_texts_are_one_group(spark):
     """Each is similar to the next; the ends are not similar to any pivot."""
     rng, words = random.Random(36), vocabulary(3000)

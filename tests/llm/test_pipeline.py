@@ -3,10 +3,12 @@
 import os
 import random
 
+import pyarrow as pa
 import pytest
 from helpers import corpus, frame, prose, vocabulary
 
 import corpus_pipeline
+from quizlens.llm import simhash
 
 
 SF = "/root/testdata/sf0.001"
@@ -67,6 +69,33 @@ def test_one_of_each_group_stays(steps, folder):
     assert set(before) - set(kept) <= {300, 301, 304, 305, None}
 
 
+def test_near_duplicates_are_found_by_fingerprints(spark, monkeypatch):
+    """Without any band, copies in a class of near_duplicates go; different texts that a run gives one fingerprint stay."""
+
+    def apart(k):
+        def run(batches):
+            for batch in batches:
+                keys = pa.array([[x] for x in batch["same"].to_pylist()], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["same"], keys], names=["doc_id", "same", "keys"])
+
+        return run
+
+    monkeypatch.setattr(simhash, "_banded", apart)
+    rng, words = random.Random(23), vocabulary(3000)
+    rows = []
+    for i in range(40):
+        tokens = prose(rng, words, 300).split(" ")
+        rows.append((i, " ".join(tokens)))
+        tokens[rng.randrange(300)] = "other"
+        rows += [(100 + i, " ".join(tokens)), (200 + i, rows[-1][1])]
+    runs = [(300 + i, f"{prose(rng, words, 60)} {'- ' * 200} {prose(rng, words, 40)}") for i in range(10)]
+    prints = {d: simhash.fingerprint(t) for d, t in rows + runs}
+    close = {i for i in range(40) if (prints[i] ^ prints[100 + i]).bit_count() <= simhash.RADIUS}
+    kept = set(texts(corpus_pipeline.drop_near_duplicates(spark, frame(spark, rows + runs), "")))
+    assert 20 < len(close) < 40 and len({prints[d] for d, _ in runs}) < 10
+    assert kept == {*range(40), *(100 + i for i in range(40) if i not in close), *(d for d, _ in runs)}
+
+
 def test_contaminated_documents_go(steps):
     assert set(texts(steps["near_duplicates"])) - set(texts(steps["decontamination"])) == {302}
 
