@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import struct
 import zipfile
 import zlib
@@ -157,6 +158,45 @@ def test_pieces_that_recur_outlast_those_that_do_not(monkeypatch):
     assert len(enc.slot) < 150
 
 
+#: What tiles cuts, as a pattern.
+TILE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[ \n.,!?%&$#*|]|\Z)| ?[.,!?%&$#*|]+(?=[ \n]|\Z)| ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.one_of(st.sampled_from(" \n.,'!aAéÿ×÷ß1$*Ā"), st.characters(exclude_categories=["Cs"])), max_size=20), max_size=5))
+def test_pieces_tile_the_texts(texts):
+    from quizlens.llm.tokens import tiles
+
+    for some in (texts, ODD, [*texts, "", *ODD, ""]):
+        pieces, many = tiles(some)
+        assert pieces.to_pylist() == [p for t in some for p in TILE.findall(t)] and many.tolist() == [len(TILE.findall(t)) for t in some]
+
+
+class Counted:
+    """Something of the library, with its calls counted."""
+
+    def __init__(self, inner, calls):
+        self.inner, self.calls = inner, calls
+
+    def __getattr__(self, name):
+        def call(*args, **more):
+            self.calls[name] += 1
+            return getattr(self.inner, name)(*args, **more)
+
+        return call
+
+
+def test_new_words_go_to_the_library_many_at_a_time():
+    enc, rng, calls = Encoder(str(public_tokenizers.path("byte_bpe_50k.json")), "spaces"), random.Random(9), Counter()
+    for name in ("tokenizer", "model", "bare"):
+        if hasattr(enc, name):
+            setattr(enc, name, Counted(getattr(enc, name), calls))
+    words = ["".join(rng.choices("abcdefghijklmnoprstuvwzéüßA", k=rng.randint(1, 14))) for _ in range(5000)]
+    texts = [" ".join(words[k : k + 50]) for k in range(0, len(words), 50)]
+    assert [x.tolist() for x in enc.encode(texts)] == whole("byte_bpe_50k.json", texts)
+    assert sum(calls.values()) < 5000 / 20  # the first word of each text has no space before it
+
+
 @pytest.mark.parametrize("limit", [dac.FILE_TOKENS, 500])
 def test_token_files_hold_every_document_in_order(spark, limit):
     rows = corpus() + [(10_000 + i, t) for i, t in enumerate(ODD)]
